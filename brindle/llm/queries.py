@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, packing, quality
+from . import binary, chat, packing, quality, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_url_filters": url_filters.query,
         "op4_quality_rules": quality.query,
         "op6_token_ids": binary.query,
+        "op9_chat_formatting": chat.query,
         "op10_best_fit_packing": packing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_url_filters": url_filters.ORACLE,
+        "op9_chat_formatting": chat.ORACLE,
+    }
