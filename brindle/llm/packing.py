@@ -93,7 +93,10 @@ def pack(pieces: DataFrame, rows: int, length: int = LENGTH, limit: int = OPEN_B
         for batch in batches:
             shares = batch.column("share").to_numpy()
             sizes = batch.column("length").to_numpy()
-            put = [bins.setdefault(s, OpenBins(length, limit)).place(n) for s, n in zip(shares.tolist(), sizes.tolist(), strict=True)]
+            for share in np.unique(shares).tolist():
+                if share not in bins:
+                    bins[share] = OpenBins(length, limit)
+            put = [bins[s].place(n) for s, n in zip(shares.tolist(), sizes.tolist(), strict=True)]
             where, offset = np.array(put, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array((shares << 40) + where), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
