@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, chat, language, packing, quality, url_filters
+from . import binary, chat, html, language, packing, quality, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": url_filters.query,
         "op3_language_id": language.query,
         "op4_quality_rules": quality.query,
+        "op5_html_extraction": html.query,
         "op6_token_ids": binary.query,
         "op9_chat_formatting": chat.query,
         "op10_best_fit_packing": packing.query,
