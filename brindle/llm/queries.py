@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, chat, html, jaccard, language, packing, quality, url_filters
+from . import binary, chat, decontaminate, html, jaccard, language, packing, quality, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": url_filters.query,
+        "op2_decontamination": decontaminate.query,
         "op3_language_id": language.query,
         "op4_quality_rules": quality.query,
         "op5_html_extraction": html.query,
