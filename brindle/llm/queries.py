@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, chat, decontaminate, html, jaccard, language, packing, quality, url_filters
+from . import binary, chat, decontaminate, html, jaccard, language, packing, quality, suffix_dedup, url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality.query,
         "op5_html_extraction": html.query,
         "op6_token_ids": binary.query,
+        "op7_suffix_dedup": suffix_dedup.query,
         "op8_jaccard_join": jaccard.query,
         "op9_chat_formatting": chat.query,
         "op10_best_fit_packing": packing.query,
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": url_filters.ORACLE,
+        "op7_suffix_dedup": suffix_dedup.query,
         "op8_jaccard_join": jaccard.query,
         "op9_chat_formatting": chat.ORACLE,
     }
