@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch are handled in slices of at most this many bytes of text (one longer text is a slice alone).
 SLICE_BYTES = 8 << 20
@@ -44,21 +43,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: int = 0) -> None:
-    """Delete the scratch tables written so far (all but the last ``keep``); callers know that no frame over them is still needed."""
-    doomed = _scratch[: len(_scratch) - keep]
-    del _scratch[: len(doomed)]
+def scratch() -> list[str]:
+    """Paths of the tables that :func:`materialize` has written and nobody has released."""
+    return list(_scratch)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch tables; the caller knows that no frame over them is still needed."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in doomed:
+    for path in paths:
+        if path in _scratch:
+            _scratch.remove(path)
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
 
 
-def spread(spark: SparkSession, rows: int, per_task: int) -> int:
-    """Number of partitions for ``rows`` rows at ``per_task`` rows each; at least the session's shuffle partitions."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
-
-
 def text_bytes(column: pa.Array) -> pa.Array:
     """A string column as binary values without copying; nulls stay."""
     if isinstance(column, pa.ChunkedArray):
@@ -83,13 +82,6 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
                 yield batch.slice(a, b - a)
 
 
-def concatenated(values: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """All values as one uint8 array, and the n + 1 offsets of the values in it (null: empty)."""
-    sizes = np.fromiter((len(v) if v else 0 for v in values), np.int64, len(values))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    return np.frombuffer(b"".join(v for v in values if v), np.uint8), starts
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values (uint64) so that all bits depend on all bits."""
     x = x ^ (x >> np.uint64(32))
@@ -97,13 +89,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
-
-
-def signed(x: np.ndarray) -> np.ndarray:
-    """uint64 values as the int64 values with the same bits."""
-    return x.view(np.int64)
-
-
-def empty_as(df: DataFrame, name: str, value: str = "") -> DataFrame:
-    """``df`` with nulls of a string column replaced."""
-    return df.withColumn(name, F.coalesce(F.col(name), F.lit(value)))

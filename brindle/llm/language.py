@@ -176,25 +176,44 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, l
     return Model(x, np.array(sample.column("lang").to_pylist()), families)
 
 
+def predict(model: Model | None, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, in blocks of bounded size."""
+    lang, score = [UND] * len(texts), np.zeros(len(texts))
+    known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
+    for a in range(0, len(known), 256):
+        some = known[a : a + 256]
+        names, p = model.predict(vectors([texts[i] for i in some]))
+        score[some] = p
+        for i, name in zip(some, names, strict=True):
+            lang[i] = name
+    return lang, score
+
+
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
-            texts = common.text_bytes(part.column("text")).to_pylist()
-            lang, score = [UND] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
-            for a in range(0, len(known), 256):
-                some = known[a : a + 256]
-                names, p = model.predict(vectors([texts[i] for i in some]))
-                score[some] = p
-                for i, name in zip(some, names, strict=True):
-                    lang[i] = name
+            lang, score = predict(model, common.text_bytes(part.column("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
 
 
+def kept(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
+    """The rows of ``docs`` whose language is believed, in one pass; a null lang becomes the prediction."""
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(batches):
+            lang, score = predict(model, common.text_bytes(part.column("text")).to_pylist())
+            good = pa.array([c != UND and s >= min_score for c, s in zip(lang, score.tolist(), strict=True)])
+            columns = [pc.fill_null(part.column(c), pa.array(lang, part.column(c).type)) if c == "lang" else part.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names).filter(good)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> Column:
     """The fold that is never learned from; a null doc_id is in it."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(True))
