@@ -2,34 +2,43 @@
 
 Texts are parsed into phrases: the trigger of a 50-byte string is the least rolling hash of its 12-byte grams, and a phrase
 is a maximal run of strings with the same trigger (phrases overlap by 49 bytes, so every 50-byte string lies whole in
-exactly one phrase, and equal strings lie in phrases with equal triggers). A slice of rows keeps a dictionary of its distinct
-phrases with the least document that has each; later documents' copies are settled there. Dictionary phrases go, packed
-and compressed, to the bucket of their trigger. A bucket drops triggers of a single document, sorts the suffixes of the
-other phrases to the depth of one string, and combines that order with the parse's documents: in each run of equal
-strings, all but those of the least document are covered. Covered starts return to their documents as intervals.
+exactly one phrase, and equal strings lie in phrases with equal triggers). Rows are dealt by hash into slices of bounded
+size, once; all passes read that one exchange:
+
+1. each slice sends the 40-bit fingerprints of its triggers to their buckets; a bucket answers each slice with one bit for
+   each trigger, whether several documents have it;
+2. a slice keeps a dictionary of its distinct phrases with shared triggers and the least document of each (later copies are
+   settled there) and sends it, packed, to the buckets; a bucket sorts the suffixes of its phrases to the depth of one
+   string, and combines that order with the parse's documents: in each run of equal strings, all but those of the least
+   document are covered;
+3. covered starts return to their slices, where each row's intervals are united and cut.
 
 Equality of strings is that of 64-bit hashes within a bucket of bounded size.
 
 Defined results: null and empty texts have nothing to remove; matches never cross documents; rows with equal doc_id
 remove nothing from each other, not even equal texts; rows with null doc_id neither lose nor own anything. Very long
-texts are parsed in overlapping pieces. Extra columns are ignored.
+texts are parsed in overlapping pieces. Extra columns are kept or ignored; _slice and _tag are reserved.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common
 
-#: Bytes of a string that counts as repeated; bytes of a trigger gram; bytes parsed at once; text bytes a bucket stands for, and a group of answers.
-LENGTH, GRAM, SLICE, BUCKET_BYTES, GROUP_BYTES = 50, 12, 4 << 20, 6 << 20, 32 << 20
+#: Bytes of a string that counts as repeated; bytes of a trigger gram; bytes parsed at once; text bytes of a slice, and those a bucket stands for.
+LENGTH, GRAM, PIECE, SLICE_BYTES, BUCKET_BYTES = 50, 12, 1 << 20, 8 << 20, 12 << 20
+#: Strings sorted at once in a bucket (more are split by trigger).
+SORTED = 3_000_000
 _VALUE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 _P = np.uint64(0xA0761D6478BD642F)
 _INVERSE = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
@@ -70,21 +79,21 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[int], bytes, np.ndarray]]:
-    """(row of each piece, its place in the text, the pieces joined, their offsets), of at most about ``SLICE`` bytes; pieces of one text overlap."""
+    """(row of each piece, its place in the text, the pieces joined, their offsets), of at most about ``PIECE`` bytes; pieces of one text overlap."""
     rows: list[int] = []
     base: list[int] = []
     parts: list[bytes] = []
     total = 0
     for i, t in enumerate(texts):
-        for a in range(0, max(1, len(t or b"") - LENGTH + 1), SLICE):
-            part = t[a : a + SLICE + LENGTH - 1] if t else b""
+        for a in range(0, max(1, len(t or b"") - LENGTH + 1), PIECE):
+            part = t[a : a + PIECE + LENGTH - 1] if t else b""
             if len(part) < LENGTH:
                 continue
             rows.append(i)
             base.append(a)
             parts.append(part)
             total += len(part)
-            if total >= SLICE:
+            if total >= PIECE:
                 yield rows, base, b"".join(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
                 rows, base, parts, total = [], [], [], 0
     if parts:
@@ -112,73 +121,152 @@ def parse(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return piece, first, count, trigger[first], run_hashes(sums, first, first + count + LENGTH - 1)
 
 
-_SEGMENTS = [("group", pa.int32()), ("doc_id", pa.binary()), ("tag", pa.binary()), ("start", pa.binary()), ("count", pa.binary())]
-_OUT = "bucket int, payload binary, group int, doc_id binary, tag binary, start binary, count binary"
-
-
-def _groups_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    return (common.mix64(doc.view(np.uint64)) % np.uint64(groups)).astype(np.int32)
-
-
-def _by_group(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, groups: int) -> list[pa.Array]:
-    """Covered starts packed by group of documents."""
-    g = _groups_of(doc, groups)
-    order = np.argsort(g, kind="stable")
-    g, parts = g[order], [c[order] for c in (doc, tag, start, count)]
-    cut = np.flatnonzero(np.diff(g, prepend=-1))
-    ends = [*cut[1:].tolist(), len(g)]
-    return [pa.array(g[cut], pa.int32()), *(pa.array([c[a:b].tobytes() for a, b in zip(cut.tolist(), ends, strict=True)], pa.binary()) for c in parts)]
-
-
-def phrases(docs: DataFrame, buckets: int, groups: int) -> DataFrame:
-    """Dictionary phrases packed by bucket, and what slices settle themselves (bucket null)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
-        for part in common.slices(batches):
-            texts = common.text_bytes(part.column("text")).to_pylist()
-            ids, tags = part.column("doc_id").to_numpy(), part.column("tag").to_numpy()
-            for rows, base, raw, offsets in pieces(texts):
-                piece, first, count, trigger, whole = parse(raw, offsets)
-                row = np.array(rows)[piece]
-                start = first - offsets[piece] + np.array(base)[piece]
-                doc, tag = ids[row], tags[row]
-                # the slice's dictionary: the least document of each distinct phrase
-                order = np.lexsort((doc, whole))
-                w = whole[order]
-                head = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-                least = np.empty_like(doc)
-                least[order] = np.repeat(doc[order][head], np.diff(np.append(head, len(w))))
-                late = doc > least
-                if late.any():
-                    own = _by_group(doc[late], tag[late], start[late], count[late], groups)
-                    n = len(own[0])
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *own], ["bucket", "payload", *(k for k, _ in _SEGMENTS)])
-                keep = np.flatnonzero(~late)
-                bucket = (common.mix64(trigger[keep] ^ _P) % np.uint64(buckets)).astype(np.int32)
-                keep = keep[np.argsort(bucket, kind="stable")]
-                bucket.sort()
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-                made = []
-                for a, b in zip(cut, [*cut[1:], len(keep)], strict=True):
-                    k = keep[a:b]
-                    lo, hi = first[k], first[k] + count[k] + LENGTH - 1
-                    blob = b"".join([raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)])
-                    head8 = np.array([len(k)], "<i8").tobytes()
-                    body = (np.diff(doc[k], prepend=0), tag[k], np.diff(start[k], prepend=0), count[k].astype("<u2"))
-                    made.append(pack.compress(head8 + b"".join(c.tobytes() for c in body) + blob))
-                n = len(cut)
-                empty = [pa.nulls(n, t) for _, t in _SEGMENTS]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), pa.array(made, pa.binary()), *empty], ["bucket", "payload", *(k for k, _ in _SEGMENTS)])
-
-    return docs.mapInArrow(run, _OUT)
-
-
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+_SEGMENTS = [("_slice", pa.int64()), ("row", pa.binary()), ("start", pa.binary()), ("count", pa.binary())]
+_SEGMENT_SCHEMA = "_slice bigint, row binary, start binary, count binary"
+
+
+def _cuts(key: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where runs of a sorted key begin and end."""
+    at = np.flatnonzero(np.diff(key, prepend=key[:1] - 1)).tolist() if len(key) else []
+    return at, [*at[1:], len(key)] if at else []
+
+
+def _by_slice(where: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[pa.Array]:
+    """Covered starts packed by slice."""
+    order = np.argsort(where, kind="stable")
+    where, parts = where[order], [c[order] for c in (row, start, count)]
+    at, to = _cuts(where)
+    return [pa.array(where[at], pa.int64()), *(pa.array([c[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()) for c in parts)]
+
+
+class Slice:
+    """The phrases of one slice's rows, which are numbered in order of (doc_id, tag)."""
+
+    def __init__(self, table: pa.Table):
+        self.order = np.array(pc.sort_indices(table, [("doc_id", "ascending"), ("_tag", "ascending")]))
+        table = table.take(pa.array(self.order))
+        ids = table.column("doc_id").combine_chunks()
+        texts = common.text_bytes(table.column("text")).to_pylist()
+        self.texts = texts
+        self.ids = ids.fill_null(0).to_numpy()
+        known = ids.is_valid().to_pylist()
+        found = []
+        self.raw: list[bytes] = []
+        for k, (rows, base, raw, offsets) in enumerate(pieces([t if ok else None for t, ok in zip(texts, known, strict=True)])):
+            piece, first, count, trigger, whole = parse(raw, offsets)
+            row = np.array(rows)[piece]
+            found.append((row, first - offsets[piece] + np.array(base)[piece], count, trigger, whole, np.full(len(row), k), first))
+            self.raw.append(raw)
+        empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64)]
+        self.row, self.start, self.count, self.trigger, self.whole, self.block, self.first = (np.concatenate(c) for c in zip(*found, strict=True)) if found else empty
+
+    def marks(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, fingerprint) of each distinct trigger, in that order, and for each phrase its place in them."""
+        mixed = common.mix64(self.trigger ^ _P)
+        joint = ((mixed % np.uint64(buckets)) << np.uint64(40)) | (mixed >> np.uint64(24))
+        joint, place = np.unique(joint, return_inverse=True)
+        return (joint >> np.uint64(40)).astype(np.int64), joint & np.uint64((1 << 40) - 1), place
+
+    def text_of(self, k: np.ndarray) -> bytes:
+        """The bytes of phrases ``k``, joined."""
+        lo, hi = self.first[k], self.first[k] + self.count[k] + LENGTH - 1
+        return b"".join([self.raw[b][i:j] for b, i, j in zip(self.block[k].tolist(), lo.tolist(), hi.tolist(), strict=True)])
+
+
+def fingerprints(sliced: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, _slice, prints, several): each slice's distinct trigger fingerprints of a bucket, ascending, and a bit for each if several of its documents have it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        here = Slice(table)
+        bucket, mark, place = here.marks(buckets)
+        own = here.ids[here.row]
+        low, high = np.full(len(mark), np.iinfo(np.int64).max), np.full(len(mark), np.iinfo(np.int64).min)
+        np.minimum.at(low, place, own)
+        np.maximum.at(high, place, own)
+        at, to = _cuts(bucket)
+        five = mark.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        prints = [five[a:b].tobytes() for a, b in zip(at, to, strict=True)]
+        bits = [np.packbits(low[a:b] < high[a:b]).tobytes() for a, b in zip(at, to, strict=True)]
+        return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "_slice": pa.array([table.column("_slice")[0].as_py()] * len(at), pa.int64()), "prints": pa.array(prints, pa.binary()), "several": pa.array(bits, pa.binary())})
+
+    return sliced.groupBy("_slice").applyInArrow(run, "bucket bigint, _slice bigint, prints binary, several binary")
+
+
+def answers(marks: DataFrame) -> DataFrame:
+    """(_slice, bucket, shared): a bit for each fingerprint that a slice has sent, whether several documents have it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        values, flags = [], []
+        for prints, several in zip(table.column("prints").to_pylist(), table.column("several").to_pylist(), strict=True):
+            five = np.frombuffer(prints, np.uint8).reshape(-1, 5)
+            eight = np.zeros((len(five), 8), np.uint8)
+            eight[:, :5] = five
+            values.append(eight.view("<u8").ravel())
+            flags.append(np.unpackbits(np.frombuffer(several, np.uint8), count=len(five)).astype(bool))
+        every = np.concatenate(values)
+        every.sort()
+        twice = every[1:][every[1:] == every[:-1]]
+        del every
+        twice = np.unique(np.concatenate([twice, *(v[f] for v, f in zip(values, flags, strict=True))]))
+        bits = []
+        for v in values:
+            at = np.minimum(np.searchsorted(twice, v), max(len(twice) - 1, 0))
+            bits.append(np.packbits(twice[at] == v if len(twice) else np.zeros(len(v), bool)).tobytes())
+        return pa.table({"_slice": table.column("_slice"), "bucket": table.column("bucket"), "shared": pa.array(bits, pa.binary())})
+
+    return marks.groupBy("bucket").applyInArrow(run, "_slice bigint, bucket bigint, shared binary")
+
+
+def phrases(sliced: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+    """Dictionary phrases with shared triggers, packed by bucket, and what slices settle themselves (bucket null)."""
+    schema = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), *_SEGMENTS])
+
+    def run(table: pa.Table, reply: pa.Table) -> pa.Table:
+        if not table.num_rows or not reply.num_rows:
+            return schema.empty_table()
+        here = Slice(table)
+        name = table.column("_slice")[0].as_py()
+        bucket, _, place = here.marks(buckets)
+        bits = dict(zip(reply.column("bucket").to_pylist(), reply.column("shared").to_pylist(), strict=True))
+        at, to = _cuts(bucket)
+        shared = np.concatenate([np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a) for k, a, b in zip(bucket[at].tolist(), at, to, strict=True)]).astype(bool)
+        use = np.flatnonzero(shared[place])
+        doc, whole = here.ids[here.row[use]], here.whole[use]
+        # the dictionary: the least document of each distinct phrase
+        order = np.lexsort((doc, whole))
+        w = whole[order]
+        head = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.zeros(0, np.int64)
+        least = np.empty_like(doc)
+        least[order] = np.repeat(doc[order][head], np.diff(np.append(head, len(w))))
+        late, use = use[doc > least], use[doc == least]
+        parts = []
+        if len(late):
+            own = _by_slice(np.full(len(late), name), here.row[late].astype("<i8"), here.start[late].astype("<i8"), here.count[late].astype("<i8"))
+            parts.append(pa.Table.from_arrays([pa.nulls(len(own[0]), pa.int64()), pa.nulls(len(own[0]), pa.binary()), *own], schema=schema))
+        if len(use):
+            pack = zstandard.ZstdCompressor(level=3)
+            where = bucket[place[use]]
+            order = np.argsort(where, kind="stable")
+            use, where = use[order], where[order]
+            at, to = _cuts(where)
+            made = []
+            for a, b in zip(at, to, strict=True):
+                k = use[a:b]
+                head16 = np.array([len(k), name], "<i8").tobytes()
+                body = (np.diff(here.ids[here.row[k]], prepend=0), here.row[k].astype("<u4"), here.start[k].astype("<i8"), here.count[k].astype("<u2"))
+                made.append(pack.compress(head16 + b"".join(c.tobytes() for c in body) + here.text_of(k)))
+            parts.append(pa.Table.from_arrays([pa.array(where[at], pa.int64()), pa.array(made, pa.binary()), *(pa.nulls(len(at), t) for _, t in _SEGMENTS)], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    return sliced.groupBy("_slice").cogroup(replies.groupBy("_slice")).applyInArrow(run, "bucket bigint, payload binary, " + _SEGMENT_SCHEMA)
+
+
+def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(doc, slice, row, start, count, bytes) of packed phrases."""
     raw = zstandard.decompress(payload)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    n, name = np.frombuffer(raw, "<i8", 2).tolist()
     take = lambda kind, at: np.frombuffer(raw, kind, n, at)
-    return np.cumsum(take("<i8", 8)), take("<i8", 8 + 8 * n), np.cumsum(take("<i8", 8 + 16 * n)), take("<u2", 8 + 24 * n).astype(np.int64), raw[8 + 26 * n :]
+    return np.cumsum(take("<i8", 16)), np.full(n, name), take("<u4", 16 + 8 * n).astype(np.int64), take("<i8", 16 + 12 * n), take("<u2", 16 + 20 * n).astype(np.int64), raw[16 + 22 * n :]
 
 
 def covered(doc: np.ndarray, count: np.ndarray, blob: np.ndarray) -> np.ndarray:
@@ -199,149 +287,129 @@ def covered(doc: np.ndarray, count: np.ndarray, blob: np.ndarray) -> np.ndarray:
     return out
 
 
-def settle(packed: DataFrame, groups: int) -> DataFrame:
-    """Covered starts of all buckets and of all slices, packed by group of documents."""
+def settle(packed: DataFrame) -> DataFrame:
+    """Covered starts of all buckets and of all slices, packed by slice."""
+    schema = pa.schema(_SEGMENTS)
 
     def run(table: pa.Table) -> pa.Table:
         if table.column("payload").null_count:
             return table.select([k for k, _ in _SEGMENTS])  # settled in a slice
         parts = [_unpack(p) for p in table.column("payload").to_pylist()]
-        doc, tag, start, count = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        blob = np.frombuffer(b"".join(p[4] for p in parts), np.uint8)
-        del parts
-        schema = pa.schema(_SEGMENTS)
-        # phrases whose trigger stands in several documents
+        doc, where, row, start, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        raw = b"".join(p[5] for p in parts)
+        del parts, table
         size = count + LENGTH - 1
         at = np.cumsum(size) - size
-        # a trigger is known by the least gram of its phrase's first string
+        # the trigger of a phrase is the least gram of its first string
+        blob = np.frombuffer(raw, np.uint8)
         trigger = np.empty(len(count), np.uint64)
+        p, inverse = _powers(LENGTH + 1)
         for a in range(0, len(count), 20_000):  # in parts, for bounded memory
-            rows = at[a : a + 20_000]
-            grams = blob[rows[:, None] + np.arange(LENGTH)]
-            sums = np.zeros((len(rows), LENGTH + 1), np.uint64)
-            p, inverse = _powers(LENGTH + 1)
+            grams = blob[at[a : a + 20_000, None] + np.arange(LENGTH)]
+            sums = np.zeros((len(grams), LENGTH + 1), np.uint64)
             np.cumsum(_VALUE[grams] * p[:LENGTH], axis=1, out=sums[:, 1:])
             trigger[a : a + 20_000] = common.mix64((sums[:, GRAM:] - sums[:, : LENGTH - GRAM + 1]) * inverse[: LENGTH - GRAM + 1]).min(1)
+        # whole triggers at a time, about SORTED strings
         order = np.argsort(trigger, kind="stable")
-        t, d = trigger[order], doc[order]
-        head = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.zeros(0, int)
-        several = np.repeat(np.minimum.reduceat(d, head) < np.maximum.reduceat(d, head), np.diff(np.append(head, len(t)))) if len(t) else np.zeros(0, bool)
-        keep = np.sort(order[several])
-        if not len(keep):
-            return schema.empty_table()
-        raw = blob.tobytes()
-        blob = np.frombuffer(b"".join([raw[i:j] for i, j in zip(at[keep].tolist(), (at[keep] + size[keep]).tolist(), strict=True)]), np.uint8)
-        del raw
-        doc, tag, start, count = doc[keep], tag[keep], start[keep], count[keep]
-        hit = covered(doc, count, blob)
-        # runs of covered starts within a phrase
-        edge = np.zeros(len(hit) + 1, bool)
-        edge[np.cumsum(count)] = True
-        edge[0] = True
-        change = np.flatnonzero(np.concatenate(([True], hit[1:] != hit[:-1])) | edge[:-1])
-        run_length = np.diff(np.append(change, len(hit)))
-        change, run_length = change[hit[change]], run_length[hit[change]]
-        if not len(change):
+        edge = np.flatnonzero(np.diff(trigger[order], prepend=trigger[order][:1] - np.uint64(1)))
+        filled = np.cumsum(count[order])[edge - 1] // SORTED if len(edge) else edge
+        filled[:1] = 0
+        cut = edge[np.flatnonzero(np.diff(filled, prepend=-1))].tolist()
+        out = []
+        for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
+            k = order[a:b]
+            part = np.frombuffer(b"".join([raw[i:j] for i, j in zip(at[k].tolist(), (at[k] + size[k]).tolist(), strict=True)]), np.uint8)
+            hit = covered(doc[k], count[k], part)
+            # runs of covered starts within a phrase
+            ends = np.cumsum(count[k])
+            edges = np.zeros(len(hit), bool)
+            edges[0] = True
+            edges[ends[:-1]] = True
+            edges[1:] |= hit[1:] != hit[:-1]
+            first = np.flatnonzero(edges)
+            length = np.diff(np.append(first, len(hit)))
+            first, length = first[hit[first]], length[hit[first]]
+            if len(first):
+                phrase = np.searchsorted(ends, first, side="right")
+                inside = first - (ends[phrase] - count[k][phrase])
+                out.append((where[k][phrase], row[k][phrase], start[k][phrase] + inside, length))
+        if not out:
             return schema.empty_table()
-        ends = np.cumsum(count)
-        phrase = np.searchsorted(ends, change, side="right")
-        inside = change - (ends[phrase] - count[phrase])
-        return pa.Table.from_arrays(_by_group(doc[phrase], tag[phrase], start[phrase] + inside, run_length, groups), schema=schema)
-
-    # what slices have settled passes through groups of its own
-    key = F.coalesce("bucket", -1 - F.col("group"))
-    return packed.groupBy(key).applyInArrow(run, "group int, doc_id binary, tag binary, start binary, count binary")
-
-
-def spans(segments: DataFrame) -> DataFrame:
-    """(doc_id, tag, n_removed, n_spans, cuts): the union of each document's covered strings; cuts is packed [from, to) pairs."""
-
-    def run(table: pa.Table) -> pa.Table:
-        doc, tag, start, count = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<i8") for c in ("doc_id", "tag", "start", "count"))
-        order = np.lexsort((start, tag, doc))
-        doc, tag, start, end = doc[order], tag[order], start[order], (start + count + LENGTH - 1)[order]
-        same = np.concatenate(([False], (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1])))
-        row = np.cumsum(~same) - 1
-        # a running maximum of ends within each document: rows are set apart by a step larger than any place
-        step = int(end.max()) + 1
-        reach = np.maximum.accumulate(end + row * step) - row * step
-        fresh = ~same
-        fresh[1:] |= start[1:] > reach[:-1]
-        head = np.flatnonzero(fresh)
-        last = np.append(head[1:], len(start)) - 1
-        a, b, r = start[head], reach[last], row[head]
-        first = np.flatnonzero(np.diff(r, prepend=-1))
-        n = np.diff(np.append(first, len(r)))
-        removed = np.add.reduceat(b - a, first)
-        pairs = np.column_stack((a, b))
-        at = np.append(first, len(r)).tolist()
-        cuts = [pairs[i:j].tobytes() for i, j in zip(at, at[1:], strict=False)]
-        return pa.Table.from_arrays([pa.array(doc[head][first]), pa.array(tag[head][first]), pa.array(removed), pa.array(n.astype(np.int64)), pa.array(cuts, pa.binary())], ["doc_id", "tag", "n_removed", "n_spans", "cuts"])
-
-    return segments.groupBy("group").applyInArrow(run, "doc_id bigint, tag bigint, n_removed bigint, n_spans bigint, cuts binary")
-
-
-def find_repeats(docs: DataFrame) -> DataFrame:
-    """The spans to remove from each row of ``docs`` (doc_id, text) that has any."""
-    rows = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", _tag(docs).alias("tag"))
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets, groups = max(8, total // BUCKET_BYTES), max(4, total // GROUP_BYTES)
-    return common.materialize(spans(settle(phrases(rows, buckets, groups), groups)), "spans")
-
-
-def _tag(docs: DataFrame) -> Column:
-    """What tells rows with equal doc_id apart: the hash of their text, or nothing where doc_ids are unique (it would be 8 random bytes a phrase)."""
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return F.xxhash64("text") if repeated else F.lit(0).cast("bigint")
-
-
-def keep(text: bytes, cuts: bytes | None) -> bytes:
-    """``text`` without the packed [from, to) pairs."""
-    if not cuts:
+        return pa.Table.from_arrays(_by_slice(*(np.concatenate(c) for c in zip(*out, strict=True))), schema=schema)
+
+    key = F.coalesce("bucket", -1 - F.col("_slice"))  # what slices have settled passes through groups of its own
+    return packed.groupBy(key).applyInArrow(run, _SEGMENT_SCHEMA)
+
+
+def united(segments: pa.Table) -> dict[int, np.ndarray]:
+    """For each row of a slice with covered strings, its maximal removed runs as [from, to) pairs."""
+    row, start, count = (np.frombuffer(b"".join(segments.column(c).to_pylist()), "<i8") for c in ("row", "start", "count"))
+    if not len(row):
+        return {}
+    order = np.lexsort((start, row))
+    row, start, end = row[order], start[order], (start + count + LENGTH - 1)[order]
+    # a running maximum of ends within each row: rows are set apart by a step larger than any place
+    step = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + row * step) - row * step
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+    head = np.flatnonzero(fresh)
+    pairs = np.column_stack((start[head], reach[np.append(head[1:], len(start)) - 1]))
+    at, to = _cuts(row[head])
+    return {int(row[head][a]): pairs[a:b] for a, b in zip(at, to, strict=True)}
+
+
+def keep(text: bytes, cuts: np.ndarray | None) -> bytes:
+    """``text`` without the [from, to) runs."""
+    if cuts is None:
         return text
     out, at = [], 0
-    for a, b in np.frombuffer(cuts, "<i8").reshape(-1, 2).tolist():
+    for a, b in cuts.tolist():
         out.append(text[at:a])
         at = b
     out.append(text[at:])
     return b"".join(out)
 
 
-def with_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """All rows of ``docs``, with n_removed, n_spans and cuts (null without any)."""
-    tagged = docs.withColumn("_tag", _tag(docs))
-    side = found.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_found"), F.col("n_removed").alias("_removed"), F.col("n_spans").alias("_spans"), F.col("cuts").alias("_cuts"))
-    return tagged.join(side, (F.col("doc_id") == F.col("_doc")) & (F.col("_tag") == F.col("_found")), "left").drop("_tag", "_doc", "_found")
+def apply(docs: DataFrame, function: Callable[[pa.Table, list[bytes | None], list[np.ndarray | None]], pa.Table], schema: str | StructType) -> DataFrame:
+    """``function`` over the rows of ``docs`` in slices: it gets the rows, their texts, and each one's removed runs (or None)."""
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    slices, buckets = max(4, total // SLICE_BYTES), max(4, total // BUCKET_BYTES)
+    where = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).alias("_slice")
+    sliced = docs.select("*", where, F.xxhash64("text").alias("_tag"))
+    segments = settle(phrases(sliced, answers(fingerprints(sliced, buckets)), buckets))
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        order = np.array(pc.sort_indices(table, [("doc_id", "ascending"), ("_tag", "ascending")]))
+        table = table.take(pa.array(order))
+        runs = united(found)
+        return function(table, common.text_bytes(table.column("text")).to_pylist(), [runs.get(i) for i in range(table.num_rows)])
+
+    return sliced.groupBy("_slice").cogroup(segments.groupBy("_slice")).applyInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated strings cut out of text; bytes left over of a cut character are dropped with it."""
-    joined = with_spans(docs, find_repeats(docs))
-    names = [f.name for f in docs.schema]
+    """``docs`` with repeated strings cut out of text; bytes left over of a cut character go with it."""
+    names = docs.columns
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches):
-            cuts = part.column("_cuts").to_pylist()
-            texts = common.text_bytes(part.column("text")).to_pylist()
-            new = [t if t is None else keep(t, c).decode("utf-8", "ignore") if c else t.decode("utf-8", "replace") for t, c in zip(texts, cuts, strict=True)]
-            columns = [pa.array(new, pa.string()) if c == "text" else part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    def run(table: pa.Table, texts: list[bytes | None], runs: list[np.ndarray | None]) -> pa.Table:
+        new = [t if t is None else keep(t, r).decode("utf-8", "ignore") for t, r in zip(texts, runs, strict=True)]
+        return pa.table({c: pa.array(new, pa.string()) if c == "text" else table.column(c) for c in names})
 
-    return joined.drop("_removed", "_spans").mapInArrow(run, docs.schema)
+    return apply(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def run(table: pa.Table, texts: list[bytes | None], runs: list[np.ndarray | None]) -> pa.Table:
+        texts = [t or b"" for t in texts]
+        columns = {
+            "doc_id": table.column("doc_id").cast(pa.int64()),
+            "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
+            "n_removed": pa.array([0 if r is None else int((r[:, 1] - r[:, 0]).sum()) for r in runs], pa.int64()),
+            "n_spans": pa.array([0 if r is None else len(r) for r in runs], pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(keep(t, r)).hexdigest() for t, r in zip(texts, runs, strict=True)], pa.string()),
+        }
+        return pa.table(columns)
+
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
-    joined = with_spans(docs, find_repeats(docs)).select("doc_id", "text", "_removed", "_spans", "_cuts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches):
-            texts = [t or b"" for t in common.text_bytes(part.column("text")).to_pylist()]
-            sums = [hashlib.sha256(keep(t, c)).hexdigest() for t, c in zip(texts, part.column("_cuts").to_pylist(), strict=True)]
-            none = pa.scalar(0, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), pa.array([len(t) for t in texts], pa.int64()), part.column("_removed").fill_null(none), part.column("_spans").fill_null(none), pa.array(sums, pa.string())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
-
-    return joined.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return apply(docs, run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
