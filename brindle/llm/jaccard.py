@@ -1,12 +1,15 @@
 """N-gram Jaccard join with signature trees.
 
 Sets that are equal are one set from the start. Under a global order of shingles (frequent ones last), two sets at the
-threshold share a key among their first few (the prefix); keys that a single set has are dropped at once. Then:
+threshold share at least k of their first n - ceil(t * n) + k shingles (their keys), for any k. Keys that a single set has
+are dropped at once, and so are sets with too few keys left to have a partner (``SURPLUS`` sets k by size). Then:
 
-1. Each set goes to one group, that of its first shared key, with its text. Groups of many shingles are salted, with the
-   group's pivot in every part, so a task holds a bounded part. In a part, a signature tree finds linked sets exactly.
+1. Each set goes to the groups of its first two shared keys, with its text. Groups of many shingles are salted, with the
+   group's pivot in every part, so a task holds a bounded part. In a part, a signature tree finds linked sets exactly, and
+   only a tree of links leaves it. Components of these links come from star rounds.
 2. What is left are keys that sets of different components share. There a tree over small signatures (a bitmap over an
-   eighth of the shingles) yields candidate pairs from different components, and their texts decide.
+   eighth of the shingles) yields the few candidate pairs that have met in no group, and their texts decide. Sets in
+   different parts of a salted group have met only through the pivot, so their pairs count as not met.
 
 A signature tree's node has the OR of its sets' bitmaps and the range of their sizes; a walk over pairs of nodes skips a
 pair if its largest possible overlap is below what its sizes need, or if all its sets are in one component already.
@@ -23,7 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -33,6 +36,8 @@ from .shingles import set_ids, shingle_sets
 
 #: Frequent shingles ordered last, at most (a bound on what is sent to tasks); how often one must be seen in a slice of rows to be counted.
 FREQUENT, SEEN = 100_000, 4
+#: Percent of a set's shingles that are keys beyond those that a partner may lack.
+SURPLUS = 7
 #: Shingles of all sets in one salted part; sets in a leaf; bits of a signature.
 PART_SHINGLES, LEAF, BITS = 2_000_000, 32, 512
 _HOT = np.uint64(1 << 62)
@@ -43,9 +48,14 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
     return -(-percent * (a + b) // (100 + percent))
 
 
+def surplus(n: np.ndarray) -> np.ndarray:
+    """Keys of a set of n elements beyond those that a partner may lack; grows with n, so partners share the lesser one's."""
+    return 1 + SURPLUS * n // 100
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
-    """Two linked sets share one of the first n - ceil(percent * n / 100) + 1 elements."""
-    return n - (-(-percent * n // 100)) + 1
+    """Two linked sets share min(surplus) of their first n - ceil(percent * n / 100) + surplus elements."""
+    return np.minimum(n, n - (-(-percent * n // 100)) + surplus(n))
 
 
 class SignatureTree:
@@ -174,18 +184,18 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
 
 
 def _census(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: (doc_id, n, set_id) of each row; kind 1: (shingle, times, 0) of shingles that a slice of rows repeats."""
+    """kind 0: (doc_id, n, set_id, tag of the text) of each row; kind 1: (shingle, times, 0, 0) of shingles that a slice of rows repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
             hashes, starts = shingle_sets(common.text_bytes(part.column("text")).to_pylist(), width)
             n = len(starts) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.array(set_ids(hashes, starts))], ["kind", "id", "n", "set_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.array(set_ids(hashes, starts)), part.column("tag")], ["kind", "id", "n", "set_id", "tag"])
             value, times = np.unique(hashes, return_counts=True)
             value, times = value[times >= SEEN], times[times >= SEEN]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), pa.array(value.astype(np.int64)), pa.array(times.astype(np.int64)), pa.array(np.zeros(len(value), np.int64))], ["kind", "id", "n", "set_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(value), np.int32)), pa.array(value.astype(np.int64)), pa.array(times.astype(np.int64)), *[pa.array(np.zeros(len(value), np.int64))] * 2], ["kind", "id", "n", "set_id", "tag"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, id bigint, n bigint, set_id bigint")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("tag")).mapInArrow(run, "kind int, id bigint, n bigint, set_id bigint, tag bigint")
 
 
 def _prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
@@ -215,41 +225,59 @@ def _shared(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("_low", F.min(by).over(over)).withColumn("_high", F.max(by).over(over)).filter("_low < _high").drop("_low", "_high")
 
 
+def _salt(column: str, salts: Column) -> Column:
+    return F.pmod(F.hash(column), salts)
+
+
+def _partnered(keys: DataFrame, percent: int) -> DataFrame:
+    """Keys of the sets that have enough of them to have a partner: as many as the least partner's surplus."""
+    least = 1 + F.floor(SURPLUS * F.ceil(percent * F.col("n") / 100) / 100)
+    enough = keys.groupBy("set_id").agg(F.count("*").alias("c"), F.max("n").alias("n")).filter(F.col("c") >= least).select("set_id")
+    return keys.join(enough, "set_id", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); component_id is the least doc_id reachable by links."""
     census = common.materialize(_census(docs, width), "census")
     often = census.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "id").limit(FREQUENT)
     frequent = np.sort(np.array([r["id"] for r in often.select("id").collect()], np.uint64))
-    rows = census.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "set_id")
+    rows = census.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "set_id", "tag")
 
-    shared = common.materialize(_shared(_prefixes(docs, width, percent, frequent), "set_id").distinct(), "keys")
-    first = shared.groupBy("set_id").agg(F.min("key").alias("key"), F.max("n").alias("n"))
-    sets = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    shared = common.materialize(_partnered(_shared(_prefixes(docs, width, percent, frequent), "set_id").distinct(), percent), "keys")
+    shared = common.materialize(_partnered(_shared(shared, "set_id"), percent), "keys")
+    firsts = F.slice(F.sort_array(F.collect_list("key")), 1, 2)
+    first = shared.groupBy("set_id").agg(firsts.alias("firsts"), F.max("n").alias("n"))
+    sets = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("set_id", "one.doc_id", "one.tag")
     wanted = first.join(sets, "set_id")
-    texts = common.materialize(docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["set_id"]).select("set_id", "key", "n", "text"), "texts")
+    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
+    # rows that are repeated as a whole give equal rows; nothing below counts them
+    texts = common.materialize(tagged.join(wanted, ["doc_id", "tag"]).select("set_id", "firsts", "n", "text"), "texts")
 
-    # 1. one group for each set
-    size = texts.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("set_id").alias("pivot")).filter("members > 1").withColumn("salts", F.ceil(F.col("total") / PART_SHINGLES).cast("int"))
-    dealt = texts.join(size, "key").withColumn("salt", F.explode(F.when(F.col("set_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.hash("set_id"), F.col("salts"))))))
+    # 1. two groups for each set
+    grouped = texts.withColumn("key", F.explode("firsts"))
+    size = grouped.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("set_id").alias("pivot")).filter("members > 1").withColumn("salts", F.ceil(F.col("total") / PART_SHINGLES).cast("int"))
+    size = common.materialize(size, "sizes")
+    part = F.when(F.col("set_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(_salt("set_id", F.col("salts"))))
+    dealt = grouped.join(size, "key").withColumn("salt", F.explode(part))
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["key", "salt"]):
             ids = group.column("set_id").to_numpy()
-            pivot, salt = group.column("pivot")[0].as_py(), group.column("salt")[0].as_py()
-            root = np.array(cluster(common.text_bytes(group.column("text")).to_pylist(), width, percent)) if len(ids) > 1 else np.zeros(1, int)
-            label = ids.copy()
-            for r in set(root.tolist()):
-                own = ids[root == r]
-                label[root == r] = pivot if pivot in own else own.min()
-            keep = (ids != pivot) if salt else np.ones(len(ids), bool)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(label[keep])], ["set_id", "local"])
-
-    parts = dealt.select("key", "salt", "set_id", "n", "pivot", "text").repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "set_id")
-    local = common.materialize(parts.mapInArrow(link, "set_id bigint, local bigint"), "local")
+            if len(ids) > 1:
+                root = np.array(cluster(common.text_bytes(group.column("text")).to_pylist(), width, percent))
+                far = np.flatnonzero(ids != ids[root])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["a", "b"])
+
+    parts = dealt.select("key", "salt", "set_id", "n", "text").repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "set_id")
+    local = common.materialize(components(parts.mapInArrow(link, "a bigint, b bigint")).select(F.col("id").alias("set_id"), F.col("component").alias("local")), "local")
 
     # 2. keys shared across components
     placed = shared.join(local, "set_id", "left").withColumn("local", F.coalesce("local", "set_id"))
     open_keys = common.materialize(_shared(placed, "local"), "open")
+    # where each set has been: its groups and, of salted ones, its part; values that no other set has fill up
+    salts = size.filter("salts > 1").select("key", "salts")
+    been = grouped.select("set_id", "key").join(salts, "key", "left").select("set_id", F.xxhash64("key", F.when(F.col("salts").isNotNull(), _salt("set_id", F.col("salts")))).alias("g"))
+    been = been.groupBy("set_id").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
@@ -257,10 +285,10 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
             bits, sampled = signatures(hashes, starts)
             yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(sampled.astype(np.int64))], ["set_id", "bits", "sampled"])
 
-    signs = texts.join(open_keys.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "text").mapInArrow(sign, "set_id bigint, bits binary, sampled bigint")
+    signs = texts.join(open_keys.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "text").mapInArrow(sign, "set_id bigint, bits binary, sampled bigint").distinct()
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
     # a set meets its own band of sizes, and the next one as a guest
-    banded = open_keys.join(signs, "set_id").withColumn("band", F.explode(F.array(band, band + 1))).withColumn("guest", F.col("band") != band)
+    banded = open_keys.join(signs.join(been, "set_id"), "set_id").withColumn("band", F.explode(F.array(band, band + 1))).withColumn("guest", F.col("band") != band)
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, ["key", "band"]):
@@ -269,6 +297,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 continue
             ids, n = group.column("set_id").to_numpy(), group.column("n").to_numpy()
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+            g0, g1 = group.column("g0").to_numpy(), group.column("g1").to_numpy()
             tree = SignatureTree(bits, n, group.column("sampled").to_numpy())
 
             def same(a: int, b: int, c: int, d: int, local_ids: np.ndarray = local_ids, guest: np.ndarray = guest) -> bool:
@@ -276,12 +305,13 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 return bool(one or (guest[a:b].all() and guest[c:d].all()))
 
             for i, j in tree.walk(percent, same):
-                keep = (local_ids[i] != local_ids[j]) & ~(guest[i] & guest[j])
+                met = (g0[i] == g0[j]) | (g0[i] == g1[j]) | (g1[i] == g0[j]) | (g1[i] == g1[j])
+                keep = (local_ids[i] != local_ids[j]) & ~(guest[i] & guest[j]) & ~met
                 if keep.any():
                     x, y = ids[i[keep]], ids[j[keep]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    ordered = banded.repartition("key", "band").sortWithinPartitions("key", "band", "local", "n", "set_id").select("key", "band", "local", "n", "set_id", "guest", "bits", "sampled")
+    ordered = banded.repartition("key", "band").sortWithinPartitions("key", "band", "local", "n", "set_id").select("key", "band", "local", "n", "set_id", "guest", "bits", "sampled", "g0", "g1")
     pairs = common.materialize(ordered.mapInArrow(pair, "a bigint, b bigint").distinct(), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,13 +326,17 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     left = texts.select(F.col("set_id").alias("a"), "text")
     right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("other"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text", "other").mapInArrow(verify, "a bigint, b bigint")
-    home = local.select("set_id", "local")
-    ends = links.join(home.select(F.col("set_id").alias("a"), F.col("local").alias("la")), "a", "left").join(home.select(F.col("set_id").alias("b"), F.col("local").alias("lb")), "b", "left")
-    joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+    links = pairs.join(left, "a").join(right, "b").select("a", "b", "text", "other").mapInArrow(verify, "a bigint, b bigint").distinct()
+    links = common.materialize(links, "links")
+    names = local
+    if links.limit(1).count():
+        ends = links.join(local.select(F.col("set_id").alias("a"), F.col("local").alias("la")), "a", "left").join(local.select(F.col("set_id").alias("b"), F.col("local").alias("lb")), "b", "left")
+        joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).withColumnRenamed("id", "local")
+        names = local.join(joined, "local", "left").select("set_id", F.coalesce("component", "local").alias("local"))
+        names = names.unionByName(joined.join(local, joined["local"] == local["set_id"], "left_anti").select(F.col("local").alias("set_id"), F.col("component").alias("local")))
 
     # the least doc_id of each set, of each component
-    labelled = sets.join(local, "set_id", "left").withColumn("local", F.coalesce("local", "set_id")).join(joined.withColumnRenamed("id", "local"), "local", "left").withColumn("component", F.coalesce("component", "local"))
+    labelled = sets.drop("tag").join(names, "set_id", "left").withColumn("component", F.coalesce("local", "set_id"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     final = common.materialize(labelled.join(least, "component").select("set_id", "component_id"), "components")
     found = rows.join(final, "set_id", "left")
