@@ -10,8 +10,8 @@ from pyspark.sql.window import Window as W
 RANGES = 64
 
 
-def average_rank(df: DataFrame, value: str, out: str, descending: bool = False, percent: bool = False) -> DataFrame:
-    """``df`` with the average rank of ``value`` (ties share their mean place), or that over the number of values; null for null.
+def rank_table(df: DataFrame, value: str, out: str, descending: bool = False, percent: bool = False) -> DataFrame:
+    """(_v, out): the average rank of each distinct value (ties share their mean place), or that over the number of values.
 
     Distinct values with their counts are dealt into ranges at approximate quantiles; a running sum inside each range and
     the ranges' totals give places. Only the totals, a row a range, meet in one task.
@@ -26,10 +26,21 @@ def average_rank(df: DataFrame, value: str, out: str, descending: bool = False,
     placed = dealt.join(F.broadcast(before), "_range").withColumn("_to", F.col("_before") + F.sum("_n").over(running))
     up = F.col("_to") - (F.col("_n") - 1) / F.lit(2.0)
     rank = (F.col("_all") + 1 - up) if descending else up
-    if percent:
-        rank = rank / F.col("_all")
-    found = placed.select(F.col("_v"), rank.cast("double").alias(out))
-    return df.join(found, df[value] == found["_v"], "left").drop("_v")
+    return placed.select(F.col("_v"), (rank / F.col("_all") if percent else rank).cast("double").alias(out))
+
+
+def average_ranks(df: DataFrame, *specs: tuple[str, str, bool], percent: bool = False) -> DataFrame:
+    """``df`` with a rank column for each (value, out, descending); every rank table is made from ``df`` itself, so plans don't nest. Null for null."""
+    joined = df
+    for value, out, descending in specs:
+        found = rank_table(df, value, out, descending, percent)
+        joined = joined.join(found, joined[value] == found["_v"], "left").drop("_v")
+    return joined
+
+
+def average_rank(df: DataFrame, value: str, out: str, descending: bool = False, percent: bool = False) -> DataFrame:
+    """``df`` with the average rank of one column."""
+    return average_ranks(df, (value, out, descending), percent=percent)
 
 
 def with_scalars(df: DataFrame, **aggregates: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .columns import finite
-from .ranks import RANGES, average_rank
+from .ranks import RANGES, average_rank, average_ranks
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -61,7 +61,7 @@ def p_value_column(r: str, n: str) -> Column:
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     """One row (n, pearson_r, spearman_r) over rows where both are finite; null under three rows."""
     good = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(finite(F.col("x")) & finite(F.col("y")))
-    ranked = average_rank(average_rank(good, "x", "rx"), "y", "ry")
+    ranked = average_ranks(good, ("x", "rx", False), ("y", "ry", False))
     made = ranked.agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson_r"), F.corr("rx", "ry").alias("spearman_r"))
     return made.select("n", *[F.when((F.col("n") >= 3) & ~F.isnan(c), F.col(c)).alias(c) for c in ("pearson_r", "spearman_r")])
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.columns import key, severity
-from ..functions.ranks import average_rank, minmax
+from ..functions.ranks import average_rank, average_ranks, minmax
+from ..session import materialize
 
 
 def merge_metrics(importance: DataFrame, replacement: DataFrame, activity: DataFrame) -> DataFrame:
@@ -24,11 +25,10 @@ def merge_metrics(importance: DataFrame, replacement: DataFrame, activity: DataF
 
 def combine(merged: DataFrame, method: str = "both") -> DataFrame:
     """Ranks of importance, risk (1 - activity) and irreplaceability, their geometric and arithmetic means, scaled and chosen by ``method``."""
-    ranked = average_rank(merged, "importance", "rank_importance")
-    ranked = average_rank(ranked, "activity_probability", "rank_risk", descending=True)
-    ranked = average_rank(ranked, "replacement_metric", "rank_irreplaceability", descending=True)
+    base = materialize(merged, "merged")
+    ranked = average_ranks(base, ("importance", "rank_importance", False), ("activity_probability", "rank_risk", True), ("replacement_metric", "rank_irreplaceability", True))
     a, b, c = F.col("rank_importance"), F.col("rank_risk"), F.col("rank_irreplaceability")
-    scored = ranked.withColumn("geo_rank_raw", F.pow(a * b * c, F.lit(1 / 3))).withColumn("avg_rank_raw", (a + b + c) / 3)
+    scored = materialize(ranked.withColumn("geo_rank_raw", F.pow(a * b * c, F.lit(1 / 3))).withColumn("avg_rank_raw", (a + b + c) / 3), "ranked")
     scored = minmax(minmax(scored, "geo_rank_raw", "geo_rank_score"), "avg_rank_raw", "avg_rank_score")
     chosen, name = {"geo": ("geo", "geometric_mean_rank"), "avg": ("avg", "average_rank"), "both": ("geo", "both_geo_default")}[method]
     return scored.withColumns({"combined_score": F.col(f"{chosen}_rank_score"), "combined_score_raw": F.col(f"{chosen}_rank_raw"), "combined_method": F.lit(name)})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.ranks import average_rank
+from ..functions.ranks import average_ranks
 from ..functions.stats import correlations
 from ..operators import graph
 from . import tables as t
@@ -106,7 +106,7 @@ def induced_subgraph(spark, sf):
 
 def spearman_ranks(spark, sf):
     m = t.metrics(spark, sf)
-    ranked = average_rank(average_rank(m, "importance", "rx"), "activity_probability", "ry")
+    ranked = average_ranks(m, ("importance", "rx", False), ("activity_probability", "ry", False))
     return ranked.select("crate_name", F.col("rx").cast("int").alias("rank_x"), F.col("ry").cast("int").alias("rank_y"))
 
 

@@ -99,5 +99,5 @@ RANKED = """ranked AS (SELECT *, rank() OVER (ORDER BY importance) + (count(*) O
 raw AS (SELECT *, pow(rank_importance * rank_risk * rank_irreplaceability, 1.0 / 3) AS geo_rank_raw, (rank_importance + rank_risk + rank_irreplaceability) / 3 AS avg_rank_raw FROM ranked),
 scored AS (SELECT *, (geo_rank_raw - min(geo_rank_raw) OVER ()) / (max(geo_rank_raw) OVER () - min(geo_rank_raw) OVER ()) AS geo_rank_score,
   (avg_rank_raw - min(avg_rank_raw) OVER ()) / (max(avg_rank_raw) OVER () - min(avg_rank_raw) OVER ()) AS avg_rank_score FROM raw)"""
-FLAT = """flat AS (SELECT event_id, date_trunc('second', ts) AS at, 'github:org/repo' || user_id AS repo_key, 'u' || json_extract_string(props, '$.k') AS actor, CAST(json_extract_string(props, '$.k') AS INT) AS k,
+FLAT = """flat AS (SELECT event_id, date_trunc('second', ts) AS happened, 'github:org/repo' || user_id AS repo_key, 'u' || json_extract_string(props, '$.k') AS actor, CAST(json_extract_string(props, '$.k') AS INT) AS k,
   event_type AS kind, CAST(floor(value) AS INT) AS size, date_trunc('week', ts) AS period FROM events)"""
