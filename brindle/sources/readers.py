@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,3 +161,16 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
 def sample(df: DataFrame, n: int = 10) -> DataFrame:
     """The first n rows, as a fixture."""
     return df.limit(n)
+
+
+def npz_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """(name, crate_id, embedding) from a compressed array file with names, crate_ids and embeddings; read once, then keep Parquet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column("content").to_pylist():
+                with np.load(io.BytesIO(raw), allow_pickle=False) as z:
+                    vectors = z["embeddings"].astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array(z["names"].astype(str).tolist()), pa.array(z["crate_ids"].astype(str).tolist()), pa.array(vectors.tolist(), pa.list_(pa.float32()))], ["name", "crate_id", "embedding"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, crate_id string, embedding array<float>")
