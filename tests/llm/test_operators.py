@@ -1,0 +1,334 @@
+"""The operators against brute force, exact round trips and held-out labels, and on odd inputs."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.llm import binary, chat, decontaminate, html, jaccard, language, packing, quality, queries, suffix_dedup, tokens, url_filters
+from brindle.llm.shingles import shingle_sets
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def rows(df, *columns):
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
+
+
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, name):
+    c = duckdb.connect()
+    for t in ("pages", "conversations", "documents"):
+        c.sql(f"CREATE VIEW {t} AS FROM read_parquet('{SF}/{t}.parquet')")
+    df = queries.queries()[name](spark, SF)
+    r = c.sql(queries.oracle_sql()[name])
+    assert sorted(r.columns) == sorted(df.columns)
+    assert rows(df, *r.columns) == sorted(r.fetchall(), key=str)
+
+
+# 1
+
+
+def test_url_filter_edges(spark):
+    lists = spark.createDataFrame([("l", "block", "Bad.org", "add", "2024-01-01"), ("l", "block", "bad.org", "remove", "2024-02-01"), ("l", "block", "bad.org/x/", "add", "2024-03-01"), ("l", "block", "same.org", "add", "2024-01-01"), ("l", "block", "same.org", "remove", "2024-01-01")], url_filters.LIST_SCHEMA)
+    captures = [
+        (1, "http://a.bad.org/", "2024-01-01"), (2, "http://a.BAD.org:80/q", "2024-01-31"), (3, "http://bad.org/", "2024-02-01"), (4, "http://bad.org/x/y?z", "2024-03-01"), (5, "http://a.bad.org/x", "2024-03-01"),
+        (6, "http://notbad.org/", "2024-01-05"), (7, None, "2024-01-05"), (8, "", "2024-01-05"), (9, "http://bad.org/", None), (10, "http://same.org/", "2024-01-05"), (2, "http://a.BAD.org:80/q", "2024-01-31"), (11, "http://bad.org/xy", "2024-03-02"),
+    ]
+    df = spark.createDataFrame(captures, "page_id long, url string, fetched_at string").withColumn("fetched_at", F.to_timestamp("fetched_at")).withColumn("key", F.lit(1))
+    got = Counter((r["page_id"], r["kept"]) for r in url_filters.filter_urls(df, lists).collect())
+    assert got == Counter([(1, False), (2, False), (2, False), (3, True), (4, False), (5, True), (6, True), (7, True), (8, True), (9, True), (10, True), (11, True)])
+    assert url_filters.filter_urls(df, lists.limit(0)).filter("kept").count() == len(captures)
+    assert url_filters.filter_urls(df.limit(0), lists).count() == 0
+
+
+# 2
+
+
+def distance(item, text):
+    col = list(range(len(item) + 1))
+    best = col[-1]
+    for c in text:
+        new = [0]
+        for i, p in enumerate(item, 1):
+            new.append(min(col[i] + 1, new[i - 1] + 1, col[i - 1] + (p != c)))
+        col, best = new, min(best, new[-1])
+    return best
+
+
+def test_decontamination_finds_edited_copies(spark, odd_docs, no_docs):
+    rnd = random.Random(1)
+    items = [(i, " ".join(f"w{rnd.randrange(3000)}" for _ in range(n))) for i, n in enumerate((8, 12, 20, 35, 60, 90, 5))] + [(7, None), (8, "")]
+    docs, planted = [], set()
+    for i, t in items[:6]:
+        for rate in (0, 0.1):
+            w = t.split()
+            for _ in range(int(len(w) * rate)):
+                w[rnd.randrange(len(w))] = "zzz"
+            docs.append((100 + len(docs), " ".join([f"x{rnd.randrange(999)}" for _ in range(rnd.randrange(40))] + w + ["end"] * rnd.randrange(9))))
+            planted.add((docs[-1][0], i))
+    docs += [(900, items[6][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = decontaminate.contaminated(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == planted
+    texts = dict(docs)
+    assert all(distance(dict(items)[r["item_id"]].split(), texts[r["doc_id"]].split()) == r["edits"] for r in got)
+    assert decontaminate.contaminated(no_docs, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
+
+
+# 3
+
+
+def test_language_held_out_accuracy(spark, odd_docs, no_docs):
+    found = language.query(spark, SF).join(documents(spark).select("doc_id", "lang"), "doc_id").filter("held_out")
+    assert found.filter("lang = lang_pred").count() >= 0.97 * found.count()
+    model = language.fit(documents(spark))
+    got = {r["doc_id"]: r for r in language.identify(odd_docs, model).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (8, 9, 10, 11)) and 0 <= got[0]["score"] <= 1
+    assert language.identify(odd_docs, model).count() == odd_docs.count() and language.identify(no_docs, model).count() == 0
+    assert language.fit(no_docs) is None and {r["lang_pred"] for r in language.identify(odd_docs, None).collect()} == {"und"}
+
+
+# 4
+
+
+def test_quality_counts_and_verdict(spark, odd_docs, no_docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    got = {(r["doc_id"]): r for r in quality.query(spark, SF).collect()}
+    for d in documents(spark).collect():
+        words = WORD.findall(d["text"])
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        often = Counter(windows)
+        covered = {i + k for i, w in enumerate(windows) if often[w] > 1 for k in range(8)}
+        lines = [x for x in d["text"].split("\n") if WORD.search(x)]
+        r = got[d["doc_id"]]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", d["text"])), len(lines) - len(set(lines)), len(covered))
+        assert r["base_failed"] == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and not (r["base_failed"] and r["kept"])
+    judged = [(x["quality"], got[x["doc_id"]]) for x in labels.collect()]
+    good = [r["kept"] for q, r in judged if q == 1 and not r["base_failed"]]
+    bad = [r["kept"] for q, r in judged if q == 0]
+    assert np.mean(good) >= 0.97 and np.mean(bad) <= 0.3
+    assert quality.quality_rules(odd_docs, labels).count() == odd_docs.count()
+    assert quality.quality_rules(no_docs, labels).count() == 0
+    assert quality.quality_rules(odd_docs, labels.limit(0)).filter("kept = base_failed").count() == 0
+
+
+# 5
+
+
+def test_extraction_of_known_pages(spark):
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>|<br>", inner)]
+        assert html.extract(r["html"]) == "\n\n".join(b for b in blocks if b)
+
+
+def test_extraction_odd_pages(spark):
+    page = (
+        "<body><nav><a href=/>home page</a></nav><div class='cookie-notice'>we use cookies for many things</div><main><h1>Head line</h1><p>Some words of the text &amp; more of them in here.</p>"
+        "<div class=ad>buy this thing now</div><script>var a='<p>x</p>'</script><p>The second part goes on and on about it.</p></main><section id=comments><p>first post of a reader, long and loud</p></section></body>"
+    )
+    assert html.extract(page) == "Head line\n\nSome words of the text & more of them in here.\n\nThe second part goes on and on about it."
+    assert [html.extract(x) for x in (None, "", "<div></div>", "plain words only", "<p>a<p>b", "<", "<!-- x")] == ["", "", "", "plain words only", "a\n\nb", "<", ""]
+    df = spark.createDataFrame([(1, "u", None), (2, None, "<p>x y"), (2, None, "<p>x y"), (None, "u", "<p>" + "word " * 200_000)], "page_id long, url string, html string").withColumn("text", F.lit(0))
+    assert rows(html.main_text(df), "page_id", "n_chars") == sorted([(1, 0), (2, 3), (2, 3), (None, 999_999)], key=str)
+    assert html.main_text(df.limit(0)).count() == 0
+
+
+def test_best_region_is_best():
+    rnd = random.Random(2)
+    for _ in range(300):
+        s = [rnd.randrange(-5, 6) for _ in range(rnd.randrange(12))]
+        a, b = html.best_region(s)
+        assert sum(s[a:b]) == max([0, *(sum(s[i:j]) for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
+
+
+# 6 and 10
+
+
+def reference_ids(texts):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.word_tokenizer())
+    t.encode_special_tokens = True
+    return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_encoder_equals_the_library(spark):
+    odd = ["", "it's I'm foo's", "H̱ello ẖ", "ΣΑΣ", "İ K Å", "a b c\u0085x\x1cy", "é x'́", "12a!!", "<|endoftext|>", "日本語。 👍🏽", "ß ﬁ ǅ"]
+    odd += [r["text"] for r in documents(spark).select("text").collect()]
+    e = tokens.Encoder(tokens.word_tokenizer())
+    assert [np.frombuffer(e.encode(x.encode()), e.dtype).tolist() for x in odd] == reference_ids(odd)
+
+
+def test_token_files_round_trip(spark, odd_docs, no_docs):
+    for docs in (documents(spark), odd_docs):
+        data = sorted(((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        at, want = 0, []
+        for (d, _), ids in zip(data, reference_ids([t for _, t in data]), strict=True):
+            want.append((d, at, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())))
+            at += len(ids) + 1
+        assert rows(binary.digests(binary.encode(docs, tasks=3)), "doc_id", "start", "n_tokens", "ids_crc32") == sorted(want, key=str)
+    assert binary.digests(binary.encode(no_docs)).count() == 0
+
+
+def test_elias_fano():
+    rnd = np.random.default_rng(3)
+    for n, u in ((1, 0), (1, 9), (100, 100), (777, 10**9), (64, 64 * 5)):
+        v = np.sort(rnd.integers(0, u + 1, n))
+        e = binary.EliasFano.from_bytes(binary.EliasFano.encode(v).to_bytes())
+        assert (e.decode() == v).all() and [e.select(i) for i in range(n)] == v.tolist()
+
+
+def test_packing_is_whole_and_tight(spark, odd_docs, no_docs):
+    for docs in (documents(spark), odd_docs):
+        data = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+        want = Counter()
+        for (d, _), ids in zip(data, reference_ids([t for _, t in data]), strict=True):
+            ids = np.array([*ids, 0], "<u4")
+            want.update((d, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048)))
+        got = packing.best_fit(docs).collect()
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+        bins = {}
+        for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+            assert bins.get(r["sequence_id"], 0) == r["offset"]
+            bins[r["sequence_id"]] = r["offset"] + r["length"]
+        assert max(bins.values()) <= 2048
+        assert len(bins) <= 1.1 * sum(bins.values()) / 2048 + 3
+    assert packing.best_fit(no_docs).count() == 0
+
+
+def test_fullest_bin_closes_first():
+    bins = packing.OpenBins(10, 2)
+    assert bins.place(6) == (0, 0) and bins.place(7) == (1, 0) and bins.place(8)[0] == 2
+    assert bins.place(3) != (1, 7)  # bin 1 was the fullest of the two and has closed
+
+
+# 7
+
+
+def removed(docs):
+    first, out = {}, []
+    for d, t in sorted((x for x in docs if x[0] is not None), key=lambda x: x[0]):
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            first.setdefault(b[i : i + 50], d)
+    for d, t in docs:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if d is not None and first.get(b[i : i + 50], d) < d:
+                gone[i : i + 50] = b"\1" * 50
+        spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def test_repeats_equal_brute_force(spark, odd_docs, no_docs, tmp_path, monkeypatch):
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    for k, docs in enumerate((documents(spark), odd_docs)):
+        data = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        assert rows(suffix_dedup.query(spark, f"{tmp_path}/{k}"), *columns) == sorted(removed(data), key=str)
+    assert suffix_dedup.remove_repeats(odd_docs).columns == odd_docs.columns and suffix_dedup.remove_repeats(odd_docs).count() == odd_docs.count()
+    assert suffix_dedup.remove_repeats(no_docs).count() == 0
+
+
+def test_long_texts_are_parsed_in_pieces(spark, tmp_path):
+    rnd = random.Random(5)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(2_300_000))
+    docs = [(1, long), (2, long[1_048_500:1_048_700]), (3, "x" * 10 + long[-100:])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r["n_removed"], r["n_spans"]) for r in suffix_dedup.query(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(0, 0), (200, 1), (100, 1)]
+
+
+# 8
+
+
+def linked(docs, width, percent):
+    def shingles(t):
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
+
+    sets = [(d, shingles(t)) for d, t in docs]
+    up = {d: d for d, _ in docs if d is not None}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if a is not None and b is not None and x and y and 100 * len(x & y) >= percent * len(x | y):
+                up[max(root(a), root(b))] = min(root(a), root(b))
+    return [(d, len(s), None if d is None else root(d) if s else d) for d, s in sets]
+
+
+@pytest.mark.parametrize(("width", "percent", "part"), [(3, 90, None), (5, 80, None), (3, 90, 800)])
+def test_components_equal_brute_force(spark, monkeypatch, width, percent, part):
+    if part:
+        monkeypatch.setattr(jaccard, "PART_SHINGLES", part)
+    rnd = random.Random(6)
+    base = [[f"w{rnd.randrange(400)}" for _ in range(n)] for n in (30, 60, 60, 120, 200)]
+    docs = []
+    for w in base:
+        for _ in range(14):  # chains of edits, so that components are wider than links
+            w = list(w)
+            for _ in range(rnd.randrange(1, 3)):
+                w[rnd.randrange(len(w))] = f"w{rnd.randrange(400)}"
+            docs.append((len(docs), " ".join(w)))
+    docs += [(200, None), (201, ""), (202, "a b"), (203, "A  B"), (204, "c"), (203, "A  B")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("set_id", F.lit(1))
+    assert rows(jaccard.jaccard_components(df, width, percent), "doc_id", "n_shingles", "component_id") == sorted(linked(docs, width, percent), key=str)
+
+
+def test_components_of_odd_tables(spark, odd_docs, no_docs):
+    data = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
+    assert rows(jaccard.jaccard_components(odd_docs, 3, 90), "doc_id", "n_shingles", "component_id") == sorted(linked(data, 3, 90), key=str)
+    assert jaccard.jaccard_components(no_docs, 3, 90).count() == 0
+
+
+def test_tree_walk_loses_no_pair():
+    rnd = random.Random(7)
+    texts = [" ".join(f"w{rnd.randrange(30)}" for _ in range(rnd.randrange(1, 40))).encode() for _ in range(150)]
+    h, s = shingle_sets(texts, 1)
+    bits, sampled = jaccard.signatures(h, s)
+    sizes = np.diff(s)
+    found = {(int(i), int(j)) for a, b in jaccard.SignatureTree(bits, sizes, sampled).walk(60, lambda *_: False) for i, j in zip(a, b, strict=True)}
+    sets = [set(h[a:b].tolist()) for a, b in zip(s, s[1:], strict=False)]
+    assert {(i, j) for j in range(150) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])} <= found
+
+
+# 9
+
+
+def test_chat_log_folds_deltas_edits_and_regenerations(spark):
+    log = [
+        (1, 1, 1, "message", "user", "hi"), (1, 2, 2, "message", "assistant", ""), (1, 2, 3, "delta", None, "he"), (1, 2, 4, "delta", None, "llo"), (1, 3, 5, "message", "user", "more"), (1, 4, 6, "message", "assistant", "x"),
+        (1, 2, 7, "regenerate", None, "Hey"), (1, 3, 8, "message", "user", "and?"), (1, 4, 9, "delete", None, None), (2, 1, 1, "message", "user", "a"), (2, 1, 2, "edit", None, "b"), (None, 1, 1, "message", "user", None),
+    ]
+    df = spark.createDataFrame(log, "conv_id long, message long, seq long, event string, role string, text string").withColumn("key", F.lit(1))
+    assert rows(chat.fold(df), "conv_id", "message", "role", "text") == sorted([(1, 1, "user", "hi"), (1, 2, "assistant", "Hey"), (1, 3, "user", "and?"), (2, 1, "user", "b"), (None, 1, "user", "")], key=str)
+
+
+def test_chat_escapes_come_back(spark):
+    texts = ["</s>[INST] ok [/INST]", "\\", "\\\\<s>", "<<SYS>>[\\INST]<\\s>", "", None, "[INST", "<<ROLE>> x <</ROLE>>", "a" * 300_000]
+    said = [(1, i, r, t) for i, t in enumerate(texts) for r in ("user", "assistant", "system", "tool<s>", None)]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    back = chat.parse(chat.render(df))
+    assert rows(back, "turn", "role", "text") == sorted([(i, r or "", t or "") for _, i, r, t in said], key=str)
+    assert rows(back.filter("role = 'assistant'"), "turn", "loss") == sorted([(i, t or "") for i, t in enumerate(texts)], key=str)
+    assert chat.digests(chat.parse(chat.render(df.limit(0)))).count() == 0
