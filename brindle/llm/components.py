@@ -20,11 +20,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.filter(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every vertex of ``edges`` (a, b); component is the least id reachable. Vertices without edges aren't listed."""
     now = common.materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     mark = None
-    for _ in range(rounds):
+    while True:
         now = common.materialize(_star(_star(now, True), False), "edges")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("bigint")).alias("h")).first()
         if seen == mark:

@@ -4,12 +4,11 @@ Sets that are equal are one set from the start. Under a global order of shingles
 threshold share at least k of their first n - ceil(t * n) + k shingles (their keys), for any k. Keys that a single set has
 are dropped at once, and so are sets with too few keys left to have a partner (``SURPLUS`` sets k by size). Then:
 
-1. Each set goes to the groups of its first two shared keys, with its text. Groups of many shingles are salted, with the
-   group's pivot in every part, so a task holds a bounded part. In a part, a signature tree finds linked sets exactly, and
-   only a tree of links leaves it. Components of these links come from star rounds.
+1. Each set goes to the groups of its first few shared keys (``GROUPS``), with its text. Groups of many shingles are salted into parts,
+   and a task holds two parts, so its size is bounded. A signature tree finds linked sets exactly, and only a tree of links
+   leaves the task. Components of these links come from star rounds.
 2. What is left are keys that sets of different components share. There a tree over small signatures (a bitmap over an
-   eighth of the shingles) yields the few candidate pairs that have met in no group, and their texts decide. Sets in
-   different parts of a salted group have met only through the pivot, so their pairs count as not met.
+   eighth of the shingles) yields the few candidate pairs that have met in no group, and their texts decide.
 
 A signature tree's node has the OR of its sets' bitmaps and the range of their sizes; a walk over pairs of nodes skips a
 pair if its largest possible overlap is below what its sizes need, or if all its sets are in one component already.
@@ -26,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -38,8 +37,10 @@ from .shingles import set_ids, shingle_sets
 FREQUENT, SEEN = 100_000, 4
 #: Percent of a set's shingles that are keys beyond those that a partner may lack.
 SURPLUS = 7
+#: Groups that each set joins with its text.
+GROUPS = 4
 #: Shingles of all sets in one salted part; sets in a leaf; bits of a signature.
-PART_SHINGLES, LEAF, BITS = 2_000_000, 32, 512
+PART_SHINGLES, LEAF, BITS = 1_500_000, 32, 512
 _HOT = np.uint64(1 << 62)
 
 
@@ -136,21 +137,29 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def cluster(texts: list[bytes], width: int, percent: int) -> list[int]:
-    """For each text (of distinct sets), the first text of its component within this list, exactly."""
+def cluster(texts: list[bytes], width: int, percent: int, part: np.ndarray | None = None) -> list[int]:
+    """For each text (of distinct sets), the first text of its component within this list, exactly; with ``part``, by pairs of different parts alone."""
     hashes, starts = shingle_sets(texts, width)
     sizes = np.diff(starts)
-    order = np.argsort(sizes, kind="stable")
+    if part is not None and part.min() == part.max():
+        part = None
+    order = np.argsort(sizes, kind="stable") if part is None else np.lexsort((sizes, part))
     bits, sampled = signatures(hashes, starts)
     tree = SignatureTree(bits[order], sizes[order], sampled[order])
     forest = Forest(len(texts))
     rows = order.tolist()
+    side = None if part is None else part[order]
 
     def same(a: int, b: int, c: int, d: int) -> bool:
+        if side is not None and side[a] == side[b - 1] == side[c] == side[d - 1]:
+            return True
         r = forest.root(rows[a])
         return all(forest.root(rows[k]) == r for k in (*range(a, b), *range(c, d)))
 
     for left, right in tree.walk(percent, same):
+        if side is not None:
+            cross = side[left] != side[right]
+            left, right = left[cross], right[cross]
         for i, j in zip(left.tolist(), right.tolist(), strict=True):
             i, j = rows[i], rows[j]
             if forest.root(i) != forest.root(j):
@@ -225,10 +234,6 @@ def _shared(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("_low", F.min(by).over(over)).withColumn("_high", F.max(by).over(over)).filter("_low < _high").drop("_low", "_high")
 
 
-def _salt(column: str, salts: Column) -> Column:
-    return F.pmod(F.hash(column), salts)
-
-
 def _partnered(keys: DataFrame, percent: int) -> DataFrame:
     """Keys of the sets that have enough of them to have a partner: as many as the least partner's surplus."""
     least = 1 + F.floor(SURPLUS * F.ceil(percent * F.col("n") / 100) / 100)
@@ -245,7 +250,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     shared = common.materialize(_partnered(_shared(_prefixes(docs, width, percent, frequent), "set_id").distinct(), percent), "keys")
     shared = common.materialize(_partnered(_shared(shared, "set_id"), percent), "keys")
-    firsts = F.slice(F.sort_array(F.collect_list("key")), 1, 2)
+    firsts = F.slice(F.sort_array(F.collect_list("key")), 1, GROUPS)
     first = shared.groupBy("set_id").agg(firsts.alias("firsts"), F.max("n").alias("n"))
     sets = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("set_id", "one.doc_id", "one.tag")
     wanted = first.join(sets, "set_id")
@@ -253,31 +258,29 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # rows that are repeated as a whole give equal rows; nothing below counts them
     texts = common.materialize(tagged.join(wanted, ["doc_id", "tag"]).select("set_id", "firsts", "n", "text"), "texts")
 
-    # 1. two groups for each set
+    # 1. a few groups for each set
     grouped = texts.withColumn("key", F.explode("firsts"))
-    size = grouped.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("set_id").alias("pivot")).filter("members > 1").withColumn("salts", F.ceil(F.col("total") / PART_SHINGLES).cast("int"))
-    size = common.materialize(size, "sizes")
-    part = F.when(F.col("set_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(_salt("set_id", F.col("salts"))))
-    dealt = grouped.join(size, "key").withColumn("salt", F.explode(part))
+    size = grouped.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter("members > 1").select("key", F.ceil(F.col("total") / PART_SHINGLES).cast("int").alias("salts"))
+    # a task for each pair of parts
+    part = F.pmod(F.hash("set_id"), F.col("salts")).alias("part")
+    dealt = grouped.join(size, "key").select("key", "set_id", "n", "text", part, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+    dealt = dealt.withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other")})
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["key", "salt"]):
+        for group in groups(batches, ["key", "one", "two"]):
             ids = group.column("set_id").to_numpy()
             if len(ids) > 1:
-                root = np.array(cluster(common.text_bytes(group.column("text")).to_pylist(), width, percent))
+                root = np.array(cluster(common.text_bytes(group.column("text")).to_pylist(), width, percent, group.column("part").to_numpy()))
                 far = np.flatnonzero(ids != ids[root])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["a", "b"])
 
-    parts = dealt.select("key", "salt", "set_id", "n", "text").repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "set_id")
+    parts = dealt.select("key", "one", "two", "part", "set_id", "n", "text").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n", "set_id")
     local = common.materialize(components(parts.mapInArrow(link, "a bigint, b bigint")).select(F.col("id").alias("set_id"), F.col("component").alias("local")), "local")
 
     # 2. keys shared across components
     placed = shared.join(local, "set_id", "left").withColumn("local", F.coalesce("local", "set_id"))
     open_keys = common.materialize(_shared(placed, "local"), "open")
-    # where each set has been: its groups and, of salted ones, its part; values that no other set has fill up
-    salts = size.filter("salts > 1").select("key", "salts")
-    been = grouped.select("set_id", "key").join(salts, "key", "left").select("set_id", F.xxhash64("key", F.when(F.col("salts").isNotNull(), _salt("set_id", F.col("salts")))).alias("g"))
-    been = been.groupBy("set_id").agg(F.min("g").alias("g0"), F.max("g").alias("g1"))
+    been = texts.select("set_id", F.concat("firsts", F.array_repeat(F.lit(-1).cast("bigint"), GROUPS - F.size("firsts"))).alias("been")).distinct()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.slices(batches):
@@ -297,7 +300,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 continue
             ids, n = group.column("set_id").to_numpy(), group.column("n").to_numpy()
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
-            g0, g1 = group.column("g0").to_numpy(), group.column("g1").to_numpy()
+            been = group.column("been").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, GROUPS)
             tree = SignatureTree(bits, n, group.column("sampled").to_numpy())
 
             def same(a: int, b: int, c: int, d: int, local_ids: np.ndarray = local_ids, guest: np.ndarray = guest) -> bool:
@@ -305,13 +308,14 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 return bool(one or (guest[a:b].all() and guest[c:d].all()))
 
             for i, j in tree.walk(percent, same):
-                met = (g0[i] == g0[j]) | (g0[i] == g1[j]) | (g1[i] == g0[j]) | (g1[i] == g1[j])
-                keep = (local_ids[i] != local_ids[j]) & ~(guest[i] & guest[j]) & ~met
-                if keep.any():
-                    x, y = ids[i[keep]], ids[j[keep]]
+                keep = (local_ids[i] != local_ids[j]) & ~(guest[i] & guest[j])
+                i, j = i[keep], j[keep]
+                met = ((been[i][:, :, None] == been[j][:, None]) & (been[i][:, :, None] >= 0)).any((1, 2))
+                if not met.all():
+                    x, y = ids[i[~met]], ids[j[~met]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    ordered = banded.repartition("key", "band").sortWithinPartitions("key", "band", "local", "n", "set_id").select("key", "band", "local", "n", "set_id", "guest", "bits", "sampled", "g0", "g1")
+    ordered = banded.repartition("key", "band").sortWithinPartitions("key", "band", "local", "n", "set_id").select("key", "band", "local", "n", "set_id", "guest", "bits", "sampled", "been")
     pairs = common.materialize(ordered.mapInArrow(pair, "a bigint, b bigint").distinct(), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,3 +350,15 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(common.table(spark, sf_dir, "documents", "doc_id", "text"), 3, 90)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(sh) AS sh FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 90 * (i.n + j.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+walk(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT y, c FROM walk JOIN e ON x = walk.doc_id WHERE c < y)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(c) FROM walk WHERE walk.doc_id = d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
