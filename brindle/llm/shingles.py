@@ -26,7 +26,13 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _GROWN: dict[str, np.ndarray] = {"p": _powers(_P, 1), "i": _powers(_P_INVERSE, 1)}
 
 
+#: Bytes of text hashed at once (a longer text is hashed alone); larger tables of powers than this needs aren't kept.
+CHUNK = 2 << 20
+
+
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if n > 2 * CHUNK:
+        return _powers(_P, n), _powers(_P_INVERSE, n)
     if len(_GROWN["p"]) < n:
         _GROWN["p"], _GROWN["i"] = _powers(_P, n), _powers(_P_INVERSE, n)
     return _GROWN["p"], _GROWN["i"]
@@ -55,6 +61,15 @@ def words(texts: list[bytes | None], fold: bool = True) -> tuple[np.ndarray, np.
 
 def shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes of each text, ascending within it; offsets of the texts). A shorter text is one shingle; none without words."""
+    sizes = np.cumsum([0, *(len(t) if t else 0 for t in texts)]) // CHUNK
+    cut = [0, *(np.flatnonzero(np.diff(sizes[:-1])) + 1).tolist(), len(texts)]
+    made = [_shingle_sets(texts[a:b], width) for a, b in zip(cut, cut[1:], strict=False) if b > a]
+    hashes = np.concatenate([np.zeros(0, np.uint64), *(h for h, _ in made)])
+    counts = np.concatenate([np.zeros(0, np.int64), *(np.diff(s) for _, s in made)])
+    return hashes, np.concatenate(([0], np.cumsum(counts)))
+
+
+def _shingle_sets(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray]:
     h, first, _, _ = words(texts)
     counts = np.diff(first)
     per = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))

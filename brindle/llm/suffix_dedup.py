@@ -36,9 +36,9 @@ from pyspark.sql.types import StructType
 from . import common
 
 #: Bytes of a string that counts as repeated; bytes of a trigger gram; bytes parsed at once; text bytes of a slice, and those a bucket stands for.
-LENGTH, GRAM, PIECE, SLICE_BYTES, BUCKET_BYTES = 50, 12, 1 << 20, 8 << 20, 12 << 20
+LENGTH, GRAM, PIECE, SLICE_BYTES, BUCKET_BYTES = 50, 12, 1 << 20, 6 << 20, 9 << 20
 #: Strings sorted at once in a bucket (more are split by trigger).
-SORTED = 3_000_000
+SORTED = 1_500_000
 _VALUE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 _P = np.uint64(0xA0761D6478BD642F)
 _INVERSE = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
