@@ -38,7 +38,7 @@ FREQUENT, SEEN = 100_000, 4
 #: Percent of a set's shingles that are keys beyond those that a partner may lack.
 SURPLUS = 7
 #: Groups that each set joins with its text.
-GROUPS = 4
+GROUPS = 3
 #: Shingles of all sets in one salted part; sets in a leaf; bits of a signature.
 PART_SHINGLES, LEAF, BITS = 1_500_000, 32, 512
 _HOT = np.uint64(1 << 62)
@@ -250,7 +250,9 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     shared = common.materialize(_partnered(_shared(_prefixes(docs, width, percent, frequent), "set_id").distinct(), percent), "keys")
     shared = common.materialize(_partnered(_shared(shared, "set_id"), percent), "keys")
-    firsts = F.slice(F.sort_array(F.collect_list("key")), 1, GROUPS)
+    # frequent shingles first here: near copies of a common text share those, while their rare ones are their edits
+    turned = F.col("key").bitwiseXOR(F.lit(int(_HOT >> np.uint64(1))))
+    firsts = F.transform(F.slice(F.sort_array(F.collect_list(turned)), 1, GROUPS), lambda k: k.bitwiseXOR(F.lit(int(_HOT >> np.uint64(1)))))
     first = shared.groupBy("set_id").agg(firsts.alias("firsts"), F.max("n").alias("n"))
     sets = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("set_id", "one.doc_id", "one.tag")
     wanted = first.join(sets, "set_id")
