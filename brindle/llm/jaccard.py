@@ -35,6 +35,8 @@ from .shingles import set_ids, shingle_sets
 
 #: Frequent shingles ordered last, at most (a bound on what is sent to tasks); how often one must be seen in a slice of rows to be counted.
 FREQUENT, SEEN = 100_000, 4
+#: Bytes of text in such a slice.
+CENSUS_BYTES = 8 << 20
 #: Percent of a set's shingles that are keys beyond those that a partner may lack.
 SURPLUS = 7
 #: Groups that each set joins with its text.
@@ -196,7 +198,7 @@ def _census(docs: DataFrame, width: int) -> DataFrame:
     """kind 0: (doc_id, n, set_id, tag of the text) of each row; kind 1: (shingle, times, 0, 0) of shingles that a slice of rows repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches):
+        for part in common.slices(batches, limit=CENSUS_BYTES):
             hashes, starts = shingle_sets(common.text_bytes(part.column("text")).to_pylist(), width)
             n = len(starts) - 1
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), part.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), pa.array(set_ids(hashes, starts)), part.column("tag")], ["kind", "id", "n", "set_id", "tag"])
@@ -211,7 +213,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -
     """(key, set_id, n): each set's first shingles in the global order, frequent ones last; once for equal sets of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.slices(batches):
+        for part in common.slices(batches, limit=CENSUS_BYTES):
             hashes, starts = shingle_sets(common.text_bytes(part.column("text")).to_pylist(), width)
             ids, size = set_ids(hashes, starts), np.diff(starts)
             _, fresh = np.unique(ids, return_index=True)

@@ -27,7 +27,7 @@ _GROWN: dict[str, np.ndarray] = {"p": _powers(_P, 1), "i": _powers(_P_INVERSE, 1
 
 
 #: Bytes of text hashed at once (a longer text is hashed alone); larger tables of powers than this needs aren't kept.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -15,7 +15,7 @@ import numpy as np
 #: ASCII punctuation and symbols: a run of them is one piece.
 _TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Words remembered at most, and bytes of the longest remembered word.
-MEMO_WORDS, MEMO_BYTES = 700_000, 64
+MEMO_WORDS, MEMO_BYTES = 200_000, 64
 
 
 def byte_letters() -> dict[int, str]:
