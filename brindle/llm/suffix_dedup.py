@@ -253,7 +253,7 @@ def phrases(sliced: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
             for a, b in zip(at, to, strict=True):
                 k = use[a:b]
                 head16 = np.array([len(k), name], "<i8").tobytes()
-                body = (np.diff(here.ids[here.row[k]], prepend=0), here.row[k].astype("<u4"), here.start[k].astype("<i8"), here.count[k].astype("<u2"))
+                body = (np.diff(here.ids[here.row[k]], prepend=0), here.row[k].astype("<u4"), here.start[k].astype("<i8"), here.count[k].astype("<u4"))
                 made.append(pack.compress(head16 + b"".join(c.tobytes() for c in body) + here.text_of(k)))
             parts.append(pa.Table.from_arrays([pa.array(where[at], pa.int64()), pa.array(made, pa.binary()), *(pa.nulls(len(at), t) for _, t in _SEGMENTS)], schema=schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
@@ -266,7 +266,7 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     raw = zstandard.decompress(payload)
     n, name = np.frombuffer(raw, "<i8", 2).tolist()
     take = lambda kind, at: np.frombuffer(raw, kind, n, at)
-    return np.cumsum(take("<i8", 16)), np.full(n, name), take("<u4", 16 + 8 * n).astype(np.int64), take("<i8", 16 + 12 * n), take("<u2", 16 + 20 * n).astype(np.int64), raw[16 + 22 * n :]
+    return np.cumsum(take("<i8", 16)), np.full(n, name), take("<u4", 16 + 8 * n).astype(np.int64), take("<i8", 16 + 12 * n), take("<u4", 16 + 20 * n).astype(np.int64), raw[16 + 24 * n :]
 
 
 def covered(doc: np.ndarray, count: np.ndarray, blob: np.ndarray) -> np.ndarray:

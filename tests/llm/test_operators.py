@@ -254,6 +254,15 @@ def test_long_texts_are_parsed_in_pieces(spark, tmp_path):
     assert [(r["n_removed"], r["n_spans"]) for r in suffix_dedup.query(spark, str(tmp_path)).orderBy("doc_id").collect()] == [(0, 0), (200, 1), (100, 1)]
 
 
+def test_long_runs_of_a_short_period(spark, tmp_path):
+    rnd = random.Random(8)
+    shared = ["".join(rnd.choice("abcdefgh ") for _ in range(300)) for _ in range(40)]
+    runs = ["-" * 70_001, "0123456789abc" * 5_400, "no " * 30_000]
+    docs = [(1, "one" + "".join(shared[:20] + runs + shared[20:])), (2, "two" + runs[1] + "".join(shared[::-1]) + runs[0] + "x" + runs[2][:80_000]), (3, runs[0][:66_000] + shared[3])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(suffix_dedup.query(spark, str(tmp_path)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(removed(docs), key=str)
+
+
 # 8
 
 
