@@ -1,12 +1,10 @@
 """Benchmark decontamination under edit distance.
 
 A document holds an item if some run of its words is within an edit distance (words inserted, deleted, replaced) of a
-fifth of the item's words. Candidates come from the random-walk embedding of edit distance into Hamming distance: a
-pointer walks over a window's words and moves on or stays by a random bit of the word and the step, so that windows which
-differ by few edits are in step again soon and agree at most places of the walk. Bit sampling over the walks (``TABLES``
-keys of ``SAMPLED`` places from each of ``WALKS`` walks) makes equal keys of similar windows. Document windows start at
-every ``STRIDE``-th word; items are indexed from every word on, so some window is in line with any copy. An exact
-edit distance over the whole item decides each candidate.
+fifth of the item's words. An item that may have k edits is cut into k + 1 blocks of words; k edits leave at least one of
+them whole, so every copy within the limit shares a block with the item, word by word. Blocks (their first ``GRAM_WORDS``
+words at most) are looked up at every word of a document, and an exact edit distance over the whole item decides around
+each of them: no copy is lost, and no other is told.
 
 Items are the stated query set: they are held by every task, in blocks of bounded size, and a block is one pass.
 
@@ -17,6 +15,7 @@ A-Z and white space don't count. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,98 +29,72 @@ from .shingles import words
 
 #: Words of a searched item at least; edits allowed for 100 words of the item; items held at once.
 MIN_WORDS, EDIT_PERCENT, BLOCK_ITEMS = 8, 20, 20_000
-#: Window sizes; words between window starts; walks; keys from each walk; places in a key.
-WINDOWS, STRIDE, WALKS, TABLES, SAMPLED = (6, 9, 14, 21, 32, 42), 4, 3, 4, 5
-_STEPS = {w: w * 3 // 2 for w in WINDOWS}
-#: Bits of the table that tells most keys of documents from those of items.
+#: Words of a block that are looked up, at most.
+GRAM_WORDS = 5
+#: Bits of the table that tells most grams of documents from those of items.
 _BITS = 22
 
 
-def _sampled_steps() -> dict[tuple[int, int, int], list[int]]:
-    """Places of the walk that the keys of each (window size, walk, table) take."""
-    rng = np.random.default_rng(41)
-    # one place in each of SAMPLED stretches, so that a key hardly ever is one word several times
-    return {(w, r, z): [int((k + rng.uniform(0.1, 0.9)) * _STEPS[w] / SAMPLED) for k in range(SAMPLED)] for w in WINDOWS for r in range(WALKS) for z in range(TABLES)}
-
-
-_PLACES = _sampled_steps()
-
-
-def walk_keys(hashes: np.ndarray, starts: np.ndarray, sizes: tuple[int, ...]) -> Iterator[tuple[int, np.ndarray]]:
-    """(window size, key of each start) for every table: ``hashes`` are words, and walks begin at ``starts``."""
-    padded = np.concatenate((hashes, np.zeros(max(WINDOWS) + 2, np.uint64)))
-    last = len(padded) - 1
-    for r in range(WALKS):
-        coins = common.mix64(padded ^ np.uint64(0x51ED270B * (r + 1)))
-        at = starts.copy()
-        keys = {(w, z): np.full(len(starts), np.uint64(w * 1009 + r * 31 + z)) for w in sizes for z in range(TABLES)}
-        for t in range(max(_STEPS[w] for w in sizes)):
-            now = coins[np.minimum(at, last)]
-            for w in sizes:
-                for z in range(TABLES):
-                    if t in _PLACES[w, r, z]:
-                        key = keys[w, z]
-                        key ^= now
-                        key *= np.uint64(0x9E3779B97F4A7C15)
-                        key ^= key >> np.uint64(29)
-            at += ((now >> np.uint64(t)) & np.uint64(1)).astype(np.int64)
-        for (w, _), key in keys.items():
-            yield w, key
-
-
-def window_size(n: int) -> int:
-    """The window for an item of n words: the largest under three quarters of it."""
-    return max(w for w in WINDOWS if w <= max(WINDOWS[0], n * 3 // 4))
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` words."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[k : k + n]
+    return common.mix64(out)
 
 
 class Items:
-    """Benchmark items, indexed by the keys of their windows."""
+    """Benchmark items, indexed by their blocks."""
 
-    def __init__(self, ids: list[int], texts: list[bytes]):
+    def __init__(self, ids: list[int], texts: list[bytes], edit_percent: int = EDIT_PERCENT):
         self.hashes, first, _, _ = words(texts)
         self.ids = ids
         self.first = first
-        counts = np.diff(first)
-        rows, offsets, self.sizes = [], [], ()
-        for i, n in enumerate(counts.tolist()):
-            if n >= MIN_WORDS:
-                w = window_size(n)
-                self.sizes = tuple(sorted({*self.sizes, w}))
-                rows += [(i, w)] * (n - w + 1)
-                offsets += range(n - w + 1)
-        self.item = np.array([i for i, _ in rows], np.int64)
-        self.window = np.array([w for _, w in rows], np.int64)
-        self.offset = np.array(offsets, np.int64)
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        self.maybe: list[np.ndarray] = []
+        self.size = np.diff(first)
+        self.allowed = self.size * edit_percent // 100
         self.patterns: dict[int, tuple[dict[int, int], int]] = {}
-        if not rows:
-            return
-        for w, key in walk_keys(self.hashes, first[self.item] + self.offset, self.sizes):
-            own = np.flatnonzero(self.window == w)
-            order = own[np.argsort(key[own], kind="stable")]
+        blocks: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for i, (n, edits) in enumerate(zip(self.size.tolist(), self.allowed.tolist(), strict=True)):
+            if n >= MIN_WORDS:
+                cuts = [n * k // (edits + 1) for k in range(edits + 2)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    blocks[min(b - a, GRAM_WORDS)].append((i, a))
+        #: gram size -> (sorted keys, item and offset of each, bits of keys that are there)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, rows in sorted(blocks.items()):
+            item, offset = np.array(rows, np.int64).T
+            key = grams(self.hashes, size)[first[item] + offset]
+            order = np.argsort(key, kind="stable")
             maybe = np.zeros(1 << (_BITS - 3), np.uint8)
-            bit = key[order] >> np.uint64(64 - _BITS)
+            bit = key >> np.uint64(64 - _BITS)
             np.bitwise_or.at(maybe, (bit >> np.uint64(3)).astype(np.int64), np.uint8(1) << (bit & np.uint64(7)).astype(np.uint8))
-            self.tables.append((key[order], order))
-            self.maybe.append(maybe)
-
-    def candidates(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, word where a copy of it would begin) of all windows that share a key with one of an item."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        if not self.tables or not len(starts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for k, (_, key) in enumerate(walk_keys(hashes, starts, self.sizes)):
+            self.tables[size] = key[order], item[order], offset[order], maybe
+
+    def spans(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, from, to) of the runs of words in which a copy that shares a block may lie, ascending; ``first`` is each document's first word."""
+        found = [np.zeros((0, 3), np.int64)]
+        for size, (keys, item, offset, maybe) in self.tables.items():
+            key = grams(hashes, size)
             bit = key >> np.uint64(64 - _BITS)
-            hit = np.flatnonzero((self.maybe[k][(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
-            sorted_keys, order = self.tables[k]
-            a, b = np.searchsorted(sorted_keys, key[hit]), np.searchsorted(sorted_keys, key[hit], side="right")
+            hit = np.flatnonzero((maybe[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+            doc = np.searchsorted(first, hit, side="right") - 1
+            inside = hit + size <= first[doc + 1]
+            hit, doc = hit[inside], doc[inside]
+            a, b = np.searchsorted(keys, key[hit]), np.searchsorted(keys, key[hit], side="right")
             n = b - a
-            row = order[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            found.append((self.item[row], np.repeat(starts[hit], n) - self.offset[row]))
-        item, start = (np.concatenate(c) for c in zip(*found, strict=True))
-        both = np.unique(np.column_stack((item, start)), axis=0)
-        return both[:, 0], both[:, 1]
+            row = np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.column_stack((np.repeat(doc, n), item[row], np.repeat(hit, n) - offset[row])))
+        doc, item, begin = np.unique(np.concatenate(found), axis=0).T
+        if not len(doc):
+            return
+        low = np.maximum(first[doc], begin - self.allowed[item])
+        high = np.minimum(first[doc + 1], begin + self.size[item] + self.allowed[item])
+        # spans that overlap are one, so that an item is looked for once in each word of a document
+        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1]))))
+        high = high[np.append(head[1:], len(doc)) - 1]
+        yield from zip(doc[head].tolist(), item[head].tolist(), low[head].tolist(), high.tolist(), strict=True)
 
     def distance(self, item: int, text: list[int]) -> tuple[int, int]:
         """(fewest edits, end) of the whole item against any run of ``text`` (word hashes), by bit-parallel columns."""
@@ -161,33 +134,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT
         ids, texts = [r[0] for r in rows], [r[1].encode() for r in rows]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(ids, texts)
+            items = Items(ids, texts, edit_percent)
             for part in common.slices(batches):
                 names = part.column("doc_id").to_pylist()
                 hashes, first, _, _ = words(common.text_bytes(part.column("text")).to_pylist())
-                # windows start at every STRIDE-th word of each document
-                counts = (np.diff(first) + STRIDE - 1) // STRIDE
-                starts = (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)) * STRIDE + np.repeat(first[:-1], counts)
-                item, begin = items.candidates(hashes, starts)
-                # a copy may begin just before its document's first word by insertions; its window doesn't
-                doc = np.searchsorted(first, np.maximum(begin, 0), side="right") - 1
                 best: dict[tuple[int, int], tuple[int, int]] = {}
-                seen_to: dict[tuple[int, int], int] = {}
-                for i, b, d in zip(item.tolist(), begin.tolist(), doc.tolist(), strict=True):
-                    n = int(items.first[i + 1] - items.first[i])
-                    allowed = n * edit_percent // 100
-                    for d in {d, min(d + 1, len(names) - 1)} if b < 0 or b + allowed >= first[min(d + 1, len(names))] else {d}:
-                        lo, hi = max(int(first[d]), b - allowed), min(int(first[d + 1]), b + n + allowed)
-                        if hi <= lo or seen_to.get((d, i), -1) >= hi:
-                            continue
-                        edits, end = items.distance(i, hashes[lo:hi].tolist())
-                        if edits <= allowed:
-                            now = (edits, max(0, lo + end - n - int(first[d])))
-                            best[d, i] = min(best.get((d, i), now), now)
-                            if edits == 0:
-                                seen_to[d, i] = 1 << 62
+                for d, i, lo, hi in items.spans(hashes, first):
+                    n = int(items.size[i])
+                    edits, end = items.distance(i, hashes[lo:hi].tolist())
+                    if edits <= items.allowed[i]:
+                        now = (edits, max(0, lo + end - n - int(first[d])))
+                        best[d, i] = min(best.get((d, i), now), now)
                 if best:
-                    out = [(names[d], ids[i], s, int(items.first[i + 1] - items.first[i]), e) for (d, i), (e, s) in sorted(best.items())]
+                    out = [(names[d], ids[i], s, int(items.size[i]), e) for (d, i), (e, s) in sorted(best.items())]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "item_id", "start", "n_item_words", "edits"])
 
         return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, n_item_words bigint, edits bigint")

@@ -88,6 +88,27 @@ def test_decontamination_finds_edited_copies(spark, odd_docs, no_docs):
     assert decontaminate.contaminated(no_docs, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_loses_no_copy_at_the_edit_limit(spark):
+    rnd = random.Random(2)
+    word = lambda: f"w{rnd.randrange(50_000)}"
+    items, docs = {}, {}
+    for n in (8, 10, 12, 15, 20, 28, 30, 45, 60):
+        for edits in {0, n // 5}:
+            for _ in range(40):
+                k = len(items)
+                items[k] = [word() for _ in range(n)]
+                w = list(items[k])
+                for _ in range(edits):  # the copy's edits, at most a fifth of its words
+                    at, what = rnd.randrange(len(w)), rnd.randrange(3)
+                    w[at : at + (what > 0)] = [word()] if what < 2 else []
+                docs[k] = [word() for _ in range(rnd.randrange(9))] + w + [word() for _ in range(rnd.randrange(9))]
+    # a hundred rows have no copy, and words in common with an item
+    docs |= {1000 + k: [word() for _ in range(30)] + items[k][:3] + [word() for _ in range(30)] for k in range(100)}
+    frame = lambda x, key: spark.createDataFrame([(k, " ".join(w)) for k, w in x.items()], f"{key} long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == {(k, k): distance(items[k], docs[k]) for k in items}
+
+
 # 3
 
 
