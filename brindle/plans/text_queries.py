@@ -43,7 +43,7 @@ def deprecation_filter(spark, sf):
 
 
 def deprecation_snippet(spark, sf):
-    docs = t.read(spark, sf, "documents").filter("lang = 'en'")
+    docs = t.read(spark, sf, "documents")
     return docs.select("doc_id", c.snippet(F.col("text"), r"(?i)\bof the\b", 1).alias("snippet")).filter("snippet IS NOT NULL").select("doc_id", F.length("snippet").alias("n"), F.md5("snippet").alias("digest"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brindle.functions import ranks, stats
 from brindle.functions.columns import normalize_repo, parsed_answer, severity
 from brindle.operators import graph, ranking, timeseries, vectors
+from brindle.plans import text_queries
 from brindle.plans.runner import Pipeline, Stage
 
 
@@ -139,3 +140,9 @@ def test_runner_checks_inputs(spark, tmp_path):
     assert [r["id"] for r in p.execute(spark, str(tmp_path))["double"].orderBy("id").collect()] == [0, 2, 4]
     with pytest.raises(ValueError):
         Pipeline([Stage("x", ["gone"], lambda s, t: None)]).plan()
+
+
+def test_snippets_of_documents_in_any_language(spark, tmp_path):
+    rows = [(1, "Out of the box.", "en"), (2, "Au nom of the loi.", "fr"), (3, "End OF THE line", None), (4, "nothing", "en"), (5, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in text_queries.deprecation_snippet(spark, str(tmp_path)).collect()) == [1, 2, 3]
