@@ -109,6 +109,14 @@ def test_decontamination_loses_no_copy_at_the_edit_limit(spark):
     assert got == {(k, k): distance(items[k], docs[k]) for k in items}
 
 
+def test_decontamination_of_a_copy_without_its_head_after_empty_rows(spark):
+    item = [f"w{k}" for k in range(20)]
+    docs = [(1, "x " * 50), (2, None), (3, ""), (4, "y"), (5, " ".join(item[4:] + ["end"] * 30))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    got = decontaminate.contaminated(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert rows(got, "doc_id", "item_id", "start", "edits") == [(5, 1, 0, 4)]
+
+
 # 3
 
 
