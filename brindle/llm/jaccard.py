@@ -245,6 +245,11 @@ def _partnered(keys: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text); component_id is the least doc_id reachable by links."""
+    return row_components(docs, width, percent).drop("tag")
+
+
+def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """:func:`jaccard_components` with each row's tag, the ``xxhash64`` of its text."""
     census = common.materialize(_census(docs, width), "census")
     often = census.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "id").limit(FREQUENT)
     frequent = np.sort(np.array([r["id"] for r in often.select("id").collect()], np.uint64))
@@ -349,7 +354,7 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     final = common.materialize(labelled.join(least, "component").select("set_id", "component_id"), "components")
     found = rows.join(final, "set_id", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return found.select("doc_id", "n_shingles", alone.alias("component_id"))
+    return found.select("doc_id", "tag", "n_shingles", alone.alias("component_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,12 +42,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each component of near duplicates; documents without words stay."""
-    found = jaccard.jaccard_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    """Keeps the document with the least doc_id of each component of near duplicates, and one of rows with equal doc_id and text; documents without words stay."""
+    found = jaccard.row_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
+    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id", F.col("tag").alias("_tag")).distinct()
+    kept = docs.withColumn("_tag", F.xxhash64("text")).join(gone, ["doc_id", "_tag"], "left_anti").select(docs.columns)
     again = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return kept.dropDuplicates(["doc_id", "text"]).select(docs.columns) if again else kept.select(docs.columns)
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id IS NULL")) if again else kept
 
 
 @_stage

@@ -31,3 +31,12 @@ def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, no_docs.select(plain.columns), SF).count() == 0
         assert stage(spark, plain, SF).columns == plain.columns and stage(spark, plain, SF).count() > 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    copy, own, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(1, copy), (5, copy + " end"), (5, own), (None, other), (None, other)]
+    for more in ([], [(7, "one two"), (7, "one two")]):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        kept = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted([(1, copy), (5, own), (None, other), (None, other), *more[:1]], key=str)
