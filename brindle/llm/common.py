@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests, local mode)."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = getattr(spark.sparkContext, "_brindle_dir", None)
         if where is None:
             where = spark.sparkContext._brindle_dir = tempfile.mkdtemp(prefix="brindle-")
@@ -58,6 +61,41 @@ def release(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+_worker: dict[str, str] = {}
+_freed_between: list[Callable[[], None]] = []
+
+
+def keeps(free: Callable[[], None]) -> None:
+    """Register how to drop what a module keeps in a Python worker from task to task."""
+    _freed_between.append(free)
+
+
+def begin(operator: str) -> None:
+    """At the start of a task's Python code: a reused worker first drops what another operator has left in it."""
+    if _worker.get("operator", operator) != operator:
+        for free in _freed_between:
+            free()
+        finish()
+    _worker["operator"] = operator
+
+
+def finish() -> None:
+    """Return freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, longer if it is among ``taken`` (case-blind, as Spark resolves names)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def text_bytes(column: pa.Array) -> pa.Array:
     """A string column as binary values without copying; nulls stay."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,23 +1,28 @@
-"""Removal of repeated byte strings by prefix-free parsing and suffix sorting.
-
-Texts are parsed into phrases: the trigger of a 50-byte string is the least rolling hash of its 12-byte grams, and a phrase
-is a maximal run of strings with the same trigger (phrases overlap by 49 bytes, so every 50-byte string lies whole in
-exactly one phrase, and equal strings lie in phrases with equal triggers). Rows are dealt by hash into slices of bounded
-size, once; all passes read that one exchange:
-
-1. each slice sends the 40-bit fingerprints of its triggers to their buckets; a bucket answers each slice with one bit for
-   each trigger, whether several documents have it;
-2. a slice keeps a dictionary of its distinct phrases with shared triggers and the least document of each (later copies are
-   settled there) and sends it, packed, to the buckets; a bucket sorts the suffixes of its phrases to the depth of one
-   string, and combines that order with the parse's documents: in each run of equal strings, all but those of the least
-   document are covered;
-3. covered starts return to their slices, where each row's intervals are united and cut.
-
-Equality of strings is that of 64-bit hashes within a bucket of bounded size.
+"""Removal of repeated byte strings by prefix-free parsing.
+
+Texts are parsed into phrases at rolling-hash triggers: the trigger of a 50-byte string is the least rolling hash of its
+12-byte grams, and a phrase is a maximal run of strings with the same trigger. Phrases overlap by 49 bytes, so every
+50-byte string lies whole in exactly one phrase, no phrase's string is a prefix of another's continuation, and equal strings
+lie in phrases with equal triggers. Rows are dealt by hash into slices of bounded size, once; all passes read that one
+exchange:
+
+1. Each slice sends the 40-bit fingerprints of its triggers to their buckets; a bucket answers each slice with two bits for
+   each trigger: whether several documents have it, and whether it is hot (more than ``HOT_SLICES`` slices have it).
+2. A slice keeps a dictionary of its distinct phrases with shared triggers and the least document of each (later copies are
+   settled there) and sends it, packed, to the buckets. Phrases of hot triggers are first split into their strings, which
+   go to buckets by their own content, so that no trigger fills a bucket.
+3. In a bucket the dictionary is the distinct phrases in byte order, and the parse is the sequence of their ranks, by
+   document. The suffix array of the dictionary orders all its suffixes to the depth of one string, by comparing bytes;
+   the suffix array of the parse lists each phrase's occurrences by document (deeper order can't matter, as a phrase holds
+   its strings whole). Both combine into corpus order: a run of suffixes with a common prefix of 50 bytes is one string, with
+   the least document of its phrases' occurrences, and all other documents' starts in the run are covered.
+4. Covered starts return to their slices, where each row's intervals are united and cut.
+
+Fingerprints only choose what is compared; equality itself is decided by bytes.
 
 Defined results: null and empty texts have nothing to remove; matches never cross documents; rows with equal doc_id
 remove nothing from each other, not even equal texts; rows with null doc_id neither lose nor own anything. Very long
-texts are parsed in overlapping pieces. Extra columns are kept or ignored; _slice and _tag are reserved.
+texts are parsed in overlapping pieces. Extra columns are kept or ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -37,35 +42,30 @@ from . import common
 
 #: Bytes of a string that counts as repeated; bytes of a trigger gram; bytes parsed at once; text bytes of a slice, and those a bucket stands for.
 LENGTH, GRAM, PIECE, SLICE_BYTES, BUCKET_BYTES = 50, 12, 1 << 20, 6 << 20, 9 << 20
-#: Strings sorted at once in a bucket (more are split by trigger).
-SORTED = 1_500_000
+#: A trigger of more slices than this is hot: its strings are dealt one by one.
+HOT_SLICES = 128
+#: Phrase bytes whose suffixes are sorted at once in a bucket (whole triggers).
+SORTED_BYTES = 3 << 20
 _VALUE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
 _P = np.uint64(0xA0761D6478BD642F)
-_INVERSE = np.uint64(pow(0xA0761D6478BD642F, -1, 1 << 64))
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("p", ())) < n:
-        for name, base in (("p", _P), ("i", _INVERSE)):
-            grown = np.full(n, base, np.uint64)
-            grown[0] = 1
-            _POWERS[name] = np.multiply.accumulate(grown)
-    return _POWERS["p"], _POWERS["i"]
 
 
-def prefix_sums(x: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums of bytes, from which the hash of any run follows."""
-    p, _ = _powers(len(x) + 1)
-    out = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(_VALUE[x] * p[: len(x)], out=out[1:])
-    return out
-
-
-def run_hashes(sums: np.ndarray, a: np.ndarray | slice, b: np.ndarray | slice) -> np.ndarray:
-    """Hash of each run [a, b)."""
-    _, inverse = _powers(len(sums))
-    return common.mix64((sums[b] - sums[a]) * inverse[: len(sums)][a])
+def rolling(x: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each ``GRAM``-byte gram of bytes ``x``, combined from those of 4 and 8 bytes."""
+    h, size, power, parts = _VALUE[x], 1, _P, {}
+    while size <= GRAM:
+        parts[size] = (h, power)
+        if size * 2 > GRAM:
+            break
+        h = h[:-size] + h[size:] * power
+        power, size = power * power, size * 2
+    out, used, scale, n = np.uint64(0), 0, np.uint64(1), len(x) - GRAM + 1
+    for size in sorted(parts, reverse=True):
+        if GRAM - used >= size:
+            h, power = parts[size]
+            out = out + h[used : used + n] * scale
+            used, scale = used + size, scale * power
+    return common.mix64(out)
 
 
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
@@ -100,12 +100,10 @@ def pieces(texts: list[bytes | None]) -> Iterator[tuple[list[int], list[int], by
         yield rows, base, b"".join(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
 
-def parse(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(piece, first start, number of starts, trigger, hash) of each phrase of joined pieces."""
+def parse(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first start, number of starts, trigger) of each phrase of joined pieces."""
     x = np.frombuffer(raw, np.uint8)
-    sums = prefix_sums(x)
-    grams = run_hashes(sums, slice(0, len(x) - GRAM + 1), slice(GRAM, None))
-    trigger = sliding_min(grams, LENGTH - GRAM + 1)
+    trigger = sliding_min(rolling(x), LENGTH - GRAM + 1)
     valid = np.ones(len(trigger), bool)  # starts whose string ends in the piece
     ends = offsets[1:-1]
     for k in range(1, LENGTH):
@@ -118,11 +116,11 @@ def parse(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     keep = valid[first]
     first, count = first[keep], count[keep]
     piece = np.searchsorted(offsets, first, side="right") - 1
-    return piece, first, count, trigger[first], run_hashes(sums, first, first + count + LENGTH - 1)
+    return piece, first, count, trigger[first]
 
 
-_SEGMENTS = [("_slice", pa.int64()), ("row", pa.binary()), ("start", pa.binary()), ("count", pa.binary())]
-_SEGMENT_SCHEMA = "_slice bigint, row binary, start binary, count binary"
+_SEGMENTS = [("slice", pa.int64()), ("row", pa.binary()), ("start", pa.binary()), ("count", pa.binary())]
+_SEGMENT_SCHEMA = "slice bigint, row binary, start binary, count binary"
 
 
 def _cuts(key: np.ndarray) -> tuple[list[int], list[int]]:
@@ -131,34 +129,49 @@ def _cuts(key: np.ndarray) -> tuple[list[int], list[int]]:
     return at, [*at[1:], len(key)] if at else []
 
 
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run, joined."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count - first, count)
+
+
 def _by_slice(where: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray) -> list[pa.Array]:
     """Covered starts packed by slice."""
     order = np.argsort(where, kind="stable")
-    where, parts = where[order], [c[order] for c in (row, start, count)]
+    where, parts = where[order], [c[order].astype("<i8") for c in (row, start, count)]
     at, to = _cuts(where)
     return [pa.array(where[at], pa.int64()), *(pa.array([c[a:b].tobytes() for a, b in zip(at, to, strict=True)], pa.binary()) for c in parts)]
 
 
+class Names:
+    """Column names for a row's slice and the hash of its text that ``columns`` don't have."""
+
+    def __init__(self, columns: list[str]):
+        self.slice, self.tag = common.fresh("_slice", columns), common.fresh("_tag", columns)
+
+    def ordered(self, table: pa.Table) -> pa.Table:
+        """The rows of a slice as every pass numbers them."""
+        return table.take(pc.sort_indices(table, [("doc_id", "ascending"), (self.tag, "ascending")]))
+
+
 class Slice:
     """The phrases of one slice's rows, which are numbered in order of (doc_id, tag)."""
 
-    def __init__(self, table: pa.Table):
-        self.order = np.array(pc.sort_indices(table, [("doc_id", "ascending"), ("_tag", "ascending")]))
-        table = table.take(pa.array(self.order))
-        ids = table.column("doc_id").combine_chunks()
+    def __init__(self, table: pa.Table, names: Names):
+        self.name = table.column(names.slice)[0].as_py()
+        table = names.ordered(table.select(["doc_id", "text", names.tag]))
+        ids = table.column("doc_id").combine_chunks().cast(pa.int64())
         texts = common.text_bytes(table.column("text")).to_pylist()
-        self.texts = texts
         self.ids = ids.fill_null(0).to_numpy()
         known = ids.is_valid().to_pylist()
         found = []
         self.raw: list[bytes] = []
         for k, (rows, base, raw, offsets) in enumerate(pieces([t if ok else None for t, ok in zip(texts, known, strict=True)])):
-            piece, first, count, trigger, whole = parse(raw, offsets)
+            piece, first, count, trigger = parse(raw, offsets)
             row = np.array(rows)[piece]
-            found.append((row, first - offsets[piece] + np.array(base)[piece], count, trigger, whole, np.full(len(row), k), first))
+            found.append((row, first - offsets[piece] + np.array(base)[piece], count, trigger, np.full(len(row), k), first))
             self.raw.append(raw)
-        empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64, np.int64)]
-        self.row, self.start, self.count, self.trigger, self.whole, self.block, self.first = (np.concatenate(c) for c in zip(*found, strict=True)) if found else empty
+        empty = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64, np.int64)]
+        self.row, self.start, self.count, self.trigger, self.block, self.first = (np.concatenate(c) for c in zip(*found, strict=True)) if found else empty
 
     def marks(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(bucket, fingerprint) of each distinct trigger, in that order, and for each phrase its place in them."""
@@ -167,17 +180,25 @@ class Slice:
         joint, place = np.unique(joint, return_inverse=True)
         return (joint >> np.uint64(40)).astype(np.int64), joint & np.uint64((1 << 40) - 1), place
 
-    def text_of(self, k: np.ndarray) -> bytes:
-        """The bytes of phrases ``k``, joined."""
-        lo, hi = self.first[k], self.first[k] + self.count[k] + LENGTH - 1
-        return b"".join([self.raw[b][i:j] for b, i, j in zip(self.block[k].tolist(), lo.tolist(), hi.tolist(), strict=True)])
+    def split(self, use: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(phrase, place in it, number of starts) of the phrases ``use``, with one row for each string of the ``hot`` ones."""
+        cold = use[~hot]
+        each = use[hot]
+        n = self.count[each]
+        return np.concatenate((cold, np.repeat(each, n))), np.concatenate((np.zeros(len(cold), np.int64), _spread(np.zeros(len(each), np.int64), n))), np.concatenate((self.count[cold], np.ones(n.sum(), np.int64)))
 
+    def texts_of(self, phrase: np.ndarray, skip: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """The bytes of each (phrase, place in it, number of starts)."""
+        lo = self.first[phrase] + skip
+        return [self.raw[b][i:j] for b, i, j in zip(self.block[phrase].tolist(), lo.tolist(), (lo + count + LENGTH - 1).tolist(), strict=True)]
 
-def fingerprints(sliced: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, _slice, prints, several): each slice's distinct trigger fingerprints of a bucket, ascending, and a bit for each if several of its documents have it."""
+
+def fingerprints(sliced: DataFrame, names: Names, buckets: int) -> DataFrame:
+    """(bucket, slice, prints, several): each slice's distinct trigger fingerprints of a bucket, ascending, and a bit for each if several of its documents have it."""
 
     def run(table: pa.Table) -> pa.Table:
-        here = Slice(table)
+        common.begin("suffix_dedup")
+        here = Slice(table, names)
         bucket, mark, place = here.marks(buckets)
         own = here.ids[here.row]
         low, high = np.full(len(mark), np.iinfo(np.int64).max), np.full(len(mark), np.iinfo(np.int64).min)
@@ -187,15 +208,16 @@ def fingerprints(sliced: DataFrame, buckets: int) -> DataFrame:
         five = mark.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         prints = [five[a:b].tobytes() for a, b in zip(at, to, strict=True)]
         bits = [np.packbits(low[a:b] < high[a:b]).tobytes() for a, b in zip(at, to, strict=True)]
-        return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "_slice": pa.array([table.column("_slice")[0].as_py()] * len(at), pa.int64()), "prints": pa.array(prints, pa.binary()), "several": pa.array(bits, pa.binary())})
+        return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "slice": pa.array([here.name] * len(at), pa.int64()), "prints": pa.array(prints, pa.binary()), "several": pa.array(bits, pa.binary())})
 
-    return sliced.groupBy("_slice").applyInArrow(run, "bucket bigint, _slice bigint, prints binary, several binary")
+    return sliced.groupBy(names.slice).applyInArrow(run, "bucket bigint, slice bigint, prints binary, several binary")
 
 
-def answers(marks: DataFrame) -> DataFrame:
-    """(_slice, bucket, shared): a bit for each fingerprint that a slice has sent, whether several documents have it."""
+def answers(marks: DataFrame, hot_slices: int) -> DataFrame:
+    """(slice, bucket, shared, hot): bits for each fingerprint that a slice has sent, whether several documents have it, and more than ``hot_slices`` slices."""
 
     def run(table: pa.Table) -> pa.Table:
+        common.begin("suffix_dedup")
         values, flags = [], []
         for prints, several in zip(table.column("prints").to_pylist(), table.column("several").to_pylist(), strict=True):
             five = np.frombuffer(prints, np.uint8).reshape(-1, 5)
@@ -206,85 +228,135 @@ def answers(marks: DataFrame) -> DataFrame:
         every = np.concatenate(values)
         every.sort()
         twice = every[1:][every[1:] == every[:-1]]
+        often = np.unique(every[hot_slices:][every[hot_slices:] == every[:-hot_slices]])  # as many more lie before it
         del every
         twice = np.unique(np.concatenate([twice, *(v[f] for v, f in zip(values, flags, strict=True))]))
-        bits = []
-        for v in values:
-            at = np.minimum(np.searchsorted(twice, v), max(len(twice) - 1, 0))
-            bits.append(np.packbits(twice[at] == v if len(twice) else np.zeros(len(v), bool)).tobytes())
-        return pa.table({"_slice": table.column("_slice"), "bucket": table.column("bucket"), "shared": pa.array(bits, pa.binary())})
 
-    return marks.groupBy("bucket").applyInArrow(run, "_slice bigint, bucket bigint, shared binary")
+        def bits(known: np.ndarray) -> pa.Array:
+            at = [np.minimum(np.searchsorted(known, v), max(len(known) - 1, 0)) for v in values]
+            return pa.array([np.packbits(known[k] == v if len(known) else np.zeros(len(v), bool)).tobytes() for k, v in zip(at, values, strict=True)], pa.binary())
+
+        return pa.table({"slice": table.column("slice"), "bucket": table.column("bucket"), "shared": bits(twice), "hot": bits(often)})
 
+    return marks.groupBy("bucket").applyInArrow(run, "slice bigint, bucket bigint, shared binary, hot binary")
 
-def phrases(sliced: DataFrame, replies: DataFrame, buckets: int) -> DataFrame:
+
+def phrases(sliced: DataFrame, names: Names, replies: DataFrame, buckets: int) -> DataFrame:
     """Dictionary phrases with shared triggers, packed by bucket, and what slices settle themselves (bucket null)."""
     schema = pa.schema([("bucket", pa.int64()), ("payload", pa.binary()), *_SEGMENTS])
 
     def run(table: pa.Table, reply: pa.Table) -> pa.Table:
+        common.begin("suffix_dedup")
         if not table.num_rows or not reply.num_rows:
             return schema.empty_table()
-        here = Slice(table)
-        name = table.column("_slice")[0].as_py()
-        bucket, _, place = here.marks(buckets)
-        bits = dict(zip(reply.column("bucket").to_pylist(), reply.column("shared").to_pylist(), strict=True))
+        here = Slice(table, names)
+        bucket, mark, place = here.marks(buckets)
+        bits = {k: (s, h) for k, s, h in zip(*(reply.column(c).to_pylist() for c in ("bucket", "shared", "hot")), strict=True)}
         at, to = _cuts(bucket)
-        shared = np.concatenate([np.unpackbits(np.frombuffer(bits[k], np.uint8), count=b - a) for k, a, b in zip(bucket[at].tolist(), at, to, strict=True)]).astype(bool)
+        shared, hot = (np.concatenate([np.unpackbits(np.frombuffer(bits[k][i], np.uint8), count=b - a) for k, a, b in zip(bucket[at].tolist(), at, to, strict=True)]).astype(bool) for i in (0, 1))
         use = np.flatnonzero(shared[place])
-        doc, whole = here.ids[here.row[use]], here.whole[use]
+        phrase, skip, count = here.split(use, hot[place[use]])
+        where, group = bucket[place[phrase]], (mark[place[phrase]] & np.uint64(0xFFFF)).astype("<u2")
         # the dictionary: the least document of each distinct phrase
-        order = np.lexsort((doc, whole))
-        w = whole[order]
-        head = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.zeros(0, np.int64)
-        least = np.empty_like(doc)
-        least[order] = np.repeat(doc[order][head], np.diff(np.append(head, len(w))))
-        late, use = use[doc > least], use[doc == least]
+        texts = here.texts_of(phrase, skip, count)
+        known: dict[bytes, int] = {}
+        entry = np.fromiter((known.setdefault(t, len(known)) for t in texts), np.int64, len(texts))
+        # strings of hot triggers are dealt by their own bytes
+        alone = np.flatnonzero(hot[place[phrase]])
+        if len(alone):
+            own = np.array([string_hash(texts[i]) for i in alone.tolist()], np.uint64)
+            where[alone], group[alone] = (own % np.uint64(buckets)).astype(np.int64), (own >> np.uint64(48)).astype("<u2")
+        doc, row, start = here.ids[here.row[phrase]], here.row[phrase], here.start[phrase] + skip
+        least = np.full(len(known), np.iinfo(np.int64).max)
+        np.minimum.at(least, entry, doc)
+        late, use = np.flatnonzero(doc > least[entry]), np.flatnonzero(doc == least[entry])
         parts = []
         if len(late):
-            own = _by_slice(np.full(len(late), name), here.row[late].astype("<i8"), here.start[late].astype("<i8"), here.count[late].astype("<i8"))
+            own = _by_slice(np.full(len(late), here.name), row[late], start[late], count[late])
             parts.append(pa.Table.from_arrays([pa.nulls(len(own[0]), pa.int64()), pa.nulls(len(own[0]), pa.binary()), *own], schema=schema))
         if len(use):
             pack = zstandard.ZstdCompressor(level=3)
-            where = bucket[place[use]]
-            order = np.argsort(where, kind="stable")
-            use, where = use[order], where[order]
-            at, to = _cuts(where)
+            use = use[np.argsort(where[use], kind="stable")]
+            at, to = _cuts(where[use])
             made = []
             for a, b in zip(at, to, strict=True):
                 k = use[a:b]
-                head16 = np.array([len(k), name], "<i8").tobytes()
-                body = (np.diff(here.ids[here.row[k]], prepend=0), here.row[k].astype("<u4"), here.start[k].astype("<i8"), here.count[k].astype("<u4"))
-                made.append(pack.compress(head16 + b"".join(c.tobytes() for c in body) + here.text_of(k)))
-            parts.append(pa.Table.from_arrays([pa.array(where[at], pa.int64()), pa.array(made, pa.binary()), *(pa.nulls(len(at), t) for _, t in _SEGMENTS)], schema=schema))
+                head = np.array([len(k), here.name], "<i8").tobytes()
+                body = (np.diff(doc[k], prepend=0), row[k].astype("<u4"), start[k].astype("<i8"), count[k].astype("<u4"), group[k])
+                made.append(pack.compress(head + b"".join(c.tobytes() for c in body) + b"".join([texts[i] for i in k.tolist()])))
+            parts.append(pa.Table.from_arrays([pa.array(where[use][at], pa.int64()), pa.array(made, pa.binary()), *(pa.nulls(len(at), t) for _, t in _SEGMENTS)], schema=schema))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
-    return sliced.groupBy("_slice").cogroup(replies.groupBy("_slice")).applyInArrow(run, "bucket bigint, payload binary, " + _SEGMENT_SCHEMA)
+    return sliced.groupBy(names.slice).cogroup(replies.groupBy("slice")).applyInArrow(run, "bucket bigint, payload binary, " + _SEGMENT_SCHEMA)
+
+
+def string_hash(text: bytes) -> int:
+    """A 64-bit hash of a string's bytes, for dealing."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")
 
 
-def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """(doc, slice, row, start, count, bytes) of packed phrases."""
+def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(doc, slice, row, start, count, group, bytes) of packed phrases."""
     raw = zstandard.decompress(payload)
     n, name = np.frombuffer(raw, "<i8", 2).tolist()
     take = lambda kind, at: np.frombuffer(raw, kind, n, at)
-    return np.cumsum(take("<i8", 16)), np.full(n, name), take("<u4", 16 + 8 * n).astype(np.int64), take("<i8", 16 + 12 * n), take("<u4", 16 + 20 * n).astype(np.int64), raw[16 + 24 * n :]
-
-
-def covered(doc: np.ndarray, count: np.ndarray, blob: np.ndarray) -> np.ndarray:
-    """For each string of the phrases in ``blob`` (joined), whether one of a smaller document is equal to it."""
-    size = count + LENGTH - 1
-    at = np.cumsum(size) - size
-    sums = prefix_sums(blob)
-    n = int(count.sum())
-    phrase = np.repeat(np.arange(len(count)), count)
-    string = np.arange(n) - np.repeat(np.cumsum(count) - count, count) + at[phrase]
-    h = run_hashes(sums, string, string + LENGTH)
-    order = np.argsort(h, kind="stable")  # equal strings side by side
-    h, owner = h[order], doc[phrase[order]]
-    head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    least = np.repeat(np.minimum.reduceat(owner, head), np.diff(np.append(head, n)))
-    out = np.empty(n, bool)
-    out[order] = owner > least
-    return out
+    return np.cumsum(take("<i8", 16)), np.full(n, name), take("<u4", 16 + 8 * n).astype(np.int64), take("<i8", 16 + 12 * n), take("<u4", 16 + 20 * n).astype(np.int64), take("<u2", 16 + 24 * n), raw[16 + 26 * n :]
+
+
+def suffix_array(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of ``raw`` at ``at`` in byte order to a depth of ``LENGTH``: (order, whether the prefix differs from the one before).
+
+    Bytes are compared eight at a time; only suffixes that are still tied are ordered further.
+    """
+    word = np.ndarray((max(0, len(raw) - 7),), ">u8", raw, strides=(1,))
+    key = word[at].astype(np.uint64)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    new = np.ones(len(at), bool)
+    new[1:] = key[1:] != key[:-1]
+    for depth in (*range(8, LENGTH - 8, 8), LENGTH - 8):
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(tied):
+            break
+        run, own = np.cumsum(new)[tied], order[tied]
+        key = word[at[own] + depth].astype(np.uint64)
+        by = np.lexsort((key, run))
+        order[tied], key = own[by], key[by]
+        new[tied[1:]] |= (key[1:] != key[:-1]) & (run[1:] == run[:-1])
+    return order, new
+
+
+def covered(doc: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Covered runs (phrase, first start, number of starts) among the phrases ``texts`` of documents ``doc``: starts of strings that a smaller document has too."""
+    dictionary = sorted(set(texts))
+    rank = {t: i for i, t in enumerate(dictionary)}
+    parse_of = np.fromiter((rank[t] for t in texts), np.int64, len(texts))
+    # the suffix array of the parse: occurrences by phrase, then by document
+    occurrences = np.lexsort((doc, parse_of))
+    head = np.flatnonzero(np.diff(parse_of[occurrences], prepend=-1))
+    least_of = doc[occurrences[head]]  # of each phrase
+    size = np.fromiter(map(len, dictionary), np.int64, len(dictionary))
+    count = size - (LENGTH - 1)
+    at = _spread(np.cumsum(size) - size, count)
+    phrase = np.repeat(np.arange(len(dictionary)), count)
+    order, new = suffix_array(b"".join(dictionary), at)
+    # corpus order: each suffix stands for its phrase's occurrences; runs of equal strings get their least document
+    run = np.flatnonzero(new)
+    least = np.empty(len(at), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(least_of[phrase[order]], run), np.diff(np.append(run, len(at))))
+    hit = least < least_of[phrase]
+    edge = np.ones(len(hit), bool)
+    edge[1:] = (hit[1:] != hit[:-1]) | (phrase[1:] != phrase[:-1])
+    first = np.flatnonzero(edge)
+    length = np.diff(np.append(first, len(hit)))
+    first, length = first[hit[first]], length[hit[first]]
+    owner, inside = phrase[first], first - (np.cumsum(count) - count)[phrase[first]]
+    # a phrase's least document has these runs covered; its other documents' occurrences are covered whole
+    late = doc > least_of[parse_of]
+    whole, mine = np.flatnonzero(late), np.flatnonzero(~late)
+    a, b = np.searchsorted(owner, parse_of[mine]), np.searchsorted(owner, parse_of[mine], side="right")
+    runs = _spread(a, b - a)
+    return np.concatenate((whole, np.repeat(mine, b - a))), np.concatenate((np.zeros(len(whole), np.int64), inside[runs])), np.concatenate((count[parse_of[whole]], length[runs]))
 
 
 def settle(packed: DataFrame) -> DataFrame:
@@ -292,52 +364,31 @@ def settle(packed: DataFrame) -> DataFrame:
     schema = pa.schema(_SEGMENTS)
 
     def run(table: pa.Table) -> pa.Table:
+        common.begin("suffix_dedup")
         if table.column("payload").null_count:
             return table.select([k for k, _ in _SEGMENTS])  # settled in a slice
         parts = [_unpack(p) for p in table.column("payload").to_pylist()]
-        doc, where, row, start, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        raw = b"".join(p[5] for p in parts)
+        doc, where, row, start, count, group = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        raw = b"".join(p[6] for p in parts)
         del parts, table
         size = count + LENGTH - 1
-        at = np.cumsum(size) - size
-        # the trigger of a phrase is the least gram of its first string
-        blob = np.frombuffer(raw, np.uint8)
-        trigger = np.empty(len(count), np.uint64)
-        p, inverse = _powers(LENGTH + 1)
-        for a in range(0, len(count), 20_000):  # in parts, for bounded memory
-            grams = blob[at[a : a + 20_000, None] + np.arange(LENGTH)]
-            sums = np.zeros((len(grams), LENGTH + 1), np.uint64)
-            np.cumsum(_VALUE[grams] * p[:LENGTH], axis=1, out=sums[:, 1:])
-            trigger[a : a + 20_000] = common.mix64((sums[:, GRAM:] - sums[:, : LENGTH - GRAM + 1]) * inverse[: LENGTH - GRAM + 1]).min(1)
-        # whole triggers at a time, about SORTED strings
-        order = np.argsort(trigger, kind="stable")
-        edge = np.flatnonzero(np.diff(trigger[order], prepend=trigger[order][:1] - np.uint64(1)))
-        filled = np.cumsum(count[order])[edge - 1] // SORTED if len(edge) else edge
-        filled[:1] = 0
+        end = np.cumsum(size)
+        # whole groups of triggers at a time, about SORTED_BYTES
+        order = np.argsort(group, kind="stable")
+        edge = np.flatnonzero(np.diff(group[order].astype(np.int64), prepend=-1))
+        filled = (np.cumsum(size[order]) - size[order])[edge] // SORTED_BYTES
         cut = edge[np.flatnonzero(np.diff(filled, prepend=-1))].tolist()
         out = []
         for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
             k = order[a:b]
-            part = np.frombuffer(b"".join([raw[i:j] for i, j in zip(at[k].tolist(), (at[k] + size[k]).tolist(), strict=True)]), np.uint8)
-            hit = covered(doc[k], count[k], part)
-            # runs of covered starts within a phrase
-            ends = np.cumsum(count[k])
-            edges = np.zeros(len(hit), bool)
-            edges[0] = True
-            edges[ends[:-1]] = True
-            edges[1:] |= hit[1:] != hit[:-1]
-            first = np.flatnonzero(edges)
-            length = np.diff(np.append(first, len(hit)))
-            first, length = first[hit[first]], length[hit[first]]
-            if len(first):
-                phrase = np.searchsorted(ends, first, side="right")
-                inside = first - (ends[phrase] - count[k][phrase])
-                out.append((where[k][phrase], row[k][phrase], start[k][phrase] + inside, length))
-        if not out:
+            phrase, inside, length = covered(doc[k], [raw[i:j] for i, j in zip((end[k] - size[k]).tolist(), end[k].tolist(), strict=True)])
+            out.append((where[k][phrase], row[k][phrase], start[k][phrase] + inside, length))
+        common.finish()
+        if not sum(len(o[0]) for o in out):
             return schema.empty_table()
         return pa.Table.from_arrays(_by_slice(*(np.concatenate(c) for c in zip(*out, strict=True))), schema=schema)
 
-    key = F.coalesce("bucket", -1 - F.col("_slice"))  # what slices have settled passes through groups of its own
+    key = F.coalesce("bucket", -1 - F.col("slice"))  # what slices have settled passes through groups of its own
     return packed.groupBy(key).applyInArrow(run, _SEGMENT_SCHEMA)
 
 
@@ -375,17 +426,18 @@ def apply(docs: DataFrame, function: Callable[[pa.Table, list[bytes | None], lis
     """``function`` over the rows of ``docs`` in slices: it gets the rows, their texts, and each one's removed runs (or None)."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     slices, buckets = max(4, total // SLICE_BYTES), max(4, total // BUCKET_BYTES)
-    where = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).alias("_slice")
-    sliced = docs.select("*", where, F.xxhash64("text").alias("_tag"))
-    segments = settle(phrases(sliced, answers(fingerprints(sliced, buckets)), buckets))
+    names = Names(docs.columns)
+    where = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).alias(names.slice)
+    sliced = docs.select("*", where, F.xxhash64("text").alias(names.tag))
+    segments = settle(phrases(sliced, names, answers(fingerprints(sliced, names, buckets), HOT_SLICES), buckets))
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
-        order = np.array(pc.sort_indices(table, [("doc_id", "ascending"), ("_tag", "ascending")]))
-        table = table.take(pa.array(order))
+        common.begin("suffix_dedup")
+        table = names.ordered(table)
         runs = united(found)
         return function(table, common.text_bytes(table.column("text")).to_pylist(), [runs.get(i) for i in range(table.num_rows)])
 
-    return sliced.groupBy("_slice").cogroup(segments.groupBy("_slice")).applyInArrow(run, schema)
+    return sliced.groupBy(names.slice).cogroup(segments.groupBy("slice")).applyInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

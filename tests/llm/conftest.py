@@ -4,7 +4,7 @@ import pytest
 
 SF = "/root/testdata/sf0.001"
 #: Columns whose names operators might use themselves.
-CLASH = ["key", "bucket", "part", "n", "row", "start", "set_id", "component", "score"]
+CLASH = ["key", "bucket", "part", "n", "row", "start", "set_id", "component", "score", "_slice", "_tag", "slice", "tag", "share", "bits"]
 
 
 @pytest.fixture(scope="session")

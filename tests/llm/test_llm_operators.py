@@ -292,6 +292,26 @@ def test_long_runs_of_a_short_period(spark, tmp_path):
     assert rows(suffix_dedup.query(spark, str(tmp_path)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(removed(docs), key=str)
 
 
+@pytest.mark.parametrize("hot", [1, 2])
+def test_strings_of_hot_triggers_are_dealt_one_by_one(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_SLICES", hot)
+    rnd = random.Random(9)
+    say = lambda n: "".join(rnd.choice("abcdefgh ü") for _ in range(n))
+    passages = [say(n) for n in (49, 50, 51, 90, 400)]
+    docs = [(k, say(rnd.randrange(90)) + rnd.choice(passages) + say(rnd.randrange(60)) + rnd.choice(passages)) for k in range(120)] + [(7, passages[4]), (None, passages[4])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(suffix_dedup.query(spark, str(tmp_path)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(removed(docs), key=str)
+
+
+def test_suffix_array_is_in_byte_order():
+    rnd = random.Random(10)
+    raw = bytes(rnd.choice(b"ab\xff\x00") for _ in range(400)) * 3
+    at = np.array(rnd.sample(range(len(raw) - 49), 700))
+    order, new = suffix_dedup.suffix_array(raw, at)
+    strings = [raw[i : i + 50] for i in at[order].tolist()]
+    assert strings == sorted(strings) and new.tolist() == [True, *(a != b for a, b in zip(strings, strings[1:], strict=False))]
+
+
 # 8
 
 
