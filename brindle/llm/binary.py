@@ -2,11 +2,12 @@
 
 A segment holds the ids of consecutive documents, end to end, and their boundaries: a monotone sequence of n + 1 offsets
 coded by Elias and Fano (low bits packed; high bits in unary in a bit vector, with a sample of every 64th one for select),
-about 2 + log2(ids / documents) bits a document. ``boundaries.select(i)`` is the offset of document i without decoding the rest.
+about 2 + log2(ids / documents) bits a document. ``boundaries.select(i)`` is the offset of document i without decoding the
+rest. The documents' own ids ascend too, and are coded the same way.
 
-The files are a Parquet table of segments (shard, segment, first id's place in the shard, n_docs, n_ids, doc_ids, blob), written by Spark's committer to
+The files are a Parquet table of segments (shard, segment, first id's place in the shard, n_docs, n_ids, blob), written by Spark's committer to
 any store, so a lost executor's half-written segments never show. Documents are dealt by ranges of doc_id (balanced by
-sampling), sorted in each range, and cut into segments of ``SEGMENT_IDS`` ids, so one task holds one segment.
+sampling; rows of one doc_id stay together), sorted in each range, and cut into segments of ``SEGMENT_IDS`` ids, so one task holds one segment.
 
 Defined results: null or empty texts have only their end id; rows with equal doc_id are ordered by their text; null
 doc_ids come first. An empty table gives an empty file. Other columns of the input are ignored.
@@ -28,9 +29,11 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 #: The file format's mark and version; ids of a segment; the id that ends a document; ones between select samples.
-MAGIC, SEGMENT_IDS, END_ID, SAMPLE = b"BRSEG001", 1 << 20, 2, 64
-SEGMENTS = "shard int, segment int, first bigint, n_docs bigint, n_ids bigint, doc_ids binary, no_doc_id bigint, blob binary"
-_HEAD = struct.Struct("<8sBBxxIQQ")  # magic, bytes an id, low bits, samples, documents, ids
+MAGIC, SEGMENT_IDS, END_ID, SAMPLE = b"BRSEG002", 1 << 20, 2, 64
+#: Bytes of text that a task writes.
+TASK_BYTES = 16 << 20
+SEGMENTS = "shard int, segment int, first bigint, n_docs bigint, n_ids bigint, blob binary"
+_HEAD = struct.Struct("<8sB3xIIQQQq")  # magic, bytes an id, bytes of boundaries, bytes of names, documents, ids, documents without doc_id, least doc_id
 
 
 class EliasFano:
@@ -94,24 +97,37 @@ class EliasFano:
         return cls(count, bits, low, high, take(-(-count // SAMPLE), "<u4"))
 
 
-def write_segment(ids: bytes, width: int, ends: list[int]) -> bytes:
-    """A segment's bytes: head, boundaries, ids (``ends``: where each document ends, in ids)."""
-    boundaries = EliasFano.encode(np.array([0, *ends], np.int64)).to_bytes()
-    return _HEAD.pack(MAGIC, width, 0, len(boundaries), len(ends), ends[-1] if ends else 0) + boundaries + ids
+class Segment:
+    """A segment of the file: boundaries and doc_ids by select, ids as an array."""
 
+    def __init__(self, blob: bytes):
+        magic, width, n_bounds, n_names, self.n_docs, n_ids, self.unnamed, self.least = _HEAD.unpack_from(blob)
+        if magic != MAGIC:
+            raise ValueError("not a token segment")
+        at = _HEAD.size
+        self.boundaries = EliasFano.from_bytes(blob[at : at + n_bounds])
+        self.names = EliasFano.from_bytes(blob[at + n_bounds : at + n_bounds + n_names]) if n_names else None
+        self.ids = np.frombuffer(blob, f"<u{width}", n_ids, at + n_bounds + n_names)
 
-def read_segment(blob: bytes) -> tuple[EliasFano, np.ndarray]:
-    """The boundaries and ids of a segment."""
-    magic, width, _, size, _, n_ids = _HEAD.unpack_from(blob)
-    if magic != MAGIC:
-        raise ValueError("not a token segment")
-    return EliasFano.from_bytes(blob[_HEAD.size : _HEAD.size + size]), np.frombuffer(blob, f"<u{width}", n_ids, _HEAD.size + size)
+    def doc_id(self, i: int) -> int | None:
+        """The id of document i; those without one come first."""
+        return None if i < self.unnamed else self.least + self.names.select(i - self.unnamed)
+
+    @staticmethod
+    def write(ids: bytes, width: int, ends: list[int], names: list[int | None]) -> bytes:
+        """A segment's bytes: head, boundaries, doc_ids, ids (``ends``: where each document ends, in ids; ``names`` ascend, nulls first)."""
+        boundaries = EliasFano.encode(np.array([0, *ends], np.int64)).to_bytes()
+        known = [n for n in names if n is not None]
+        least = known[0] if known else 0
+        coded = EliasFano.encode(np.array([n - least for n in known], np.uint64)).to_bytes() if known else b""
+        return _HEAD.pack(MAGIC, width, len(boundaries), len(coded), len(ends), ends[-1] if ends else 0, len(names) - len(known), least) + boundaries + coded + ids
 
 
 def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, tasks: int | None = None) -> DataFrame:
     """The segments of ``docs`` (doc_id, text) in ascending doc_id order; shard and segment number them in that order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("tokens")
         encoder = tokens.encoder(tokenizer or tokens.word_tokenizer())
         end, width = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize
         shard, segment, first = TaskContext.get().partitionId(), 0, 0
@@ -120,8 +136,8 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
         ids: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            row = (shard, segment, first, len(ends), ends[-1], np.array([n or 0 for n in names], "<i8").tobytes(), sum(n is None for n in names), write_segment(b"".join(ids), width, ends))
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["shard", "segment", "first", "n_docs", "n_ids", "doc_ids", "no_doc_id", "blob"])
+            row = (shard, segment, first, len(ends), ends[-1], Segment.write(b"".join(ids), width, ends, names))
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "segment", "first", "n_docs", "n_ids", "blob"])
 
         for part in common.slices(batches):
             for doc, text in zip(part.column("doc_id").to_pylist(), common.text_bytes(part.column("text")).to_pylist(), strict=True):
@@ -135,30 +151,29 @@ def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
                     names, ends, ids = [], [], []
         if ends:
             yield flush()
+        common.finish()
 
-    tasks = tasks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks or max(2, -(-(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // TASK_BYTES))
     return docs.select("doc_id", "text").repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SEGMENTS)
 
 
 def digests(segments: DataFrame) -> DataFrame:
-    """Read segments back: a row for each document with its global start, its length and the checksum of its ids."""
-    spark = segments.sparkSession
-    # ids of each shard: a few numbers a shard, and there are as many shards as tasks wrote the files
+    """Read segments back where they lie: a row for each document with its global start, its length and the checksum of its ids, by select."""
+    # ids of each shard: two numbers a shard, and there are as many shards as tasks wrote the files
     sizes = sorted((r["shard"], r["n"]) for r in segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect())
     before = dict(zip((s for s, _ in sizes), accumulate((n for _, n in sizes), initial=0), strict=False))
-    known = spark.createDataFrame([(s, before[s]) for s, _ in sizes], "shard int, base bigint")
-    placed = segments.join(known, "shard").withColumn("base", F.col("base") + F.col("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_ids, absent, blob, base in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "no_doc_id", "blob", "base")), strict=True):
-                boundaries, ids = read_segment(blob)
-                at = boundaries.decode()
-                names = np.frombuffer(doc_ids, "<i8")
-                sums = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
-                yield pa.RecordBatch.from_arrays([pa.array(names, mask=np.arange(len(names)) < absent), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return placed.select("doc_ids", "no_doc_id", "blob", "base").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+            for shard, first, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "first", "blob")), strict=True):
+                here = Segment(blob)
+                at = [here.boundaries.select(i) for i in range(here.n_docs + 1)]
+                names = [here.doc_id(i) for i in range(here.n_docs)]
+                sums = [zlib.crc32(here.ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:], strict=False)]
+                start = np.array(at, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start[:-1] + (before[shard] + first)), pa.array(np.diff(start)), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return segments.select("shard", "first", "blob").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

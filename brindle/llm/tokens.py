@@ -3,6 +3,8 @@
 The word tokenizer used here never lets a token cross white space, so a text's ids are the ids of its words in order.
 An :class:`Encoder` keeps a bounded table from word to ids. A word of letters with a tail of ASCII punctuation, already
 in normal form, goes straight to the tokenizer's model, as two pieces; any other word goes through the whole tokenizer.
+So does a word with the string of an added token in it, which the library turns into that token's id, as its default is
+(``special_as_text`` makes such strings ordinary text).
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from functools import lru_cache
 
 import numpy as np
 
+from . import common
+
 #: ASCII punctuation and symbols: a run of them is one piece.
 _TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Words remembered at most, and bytes of the longest remembered word.
-MEMO_WORDS, MEMO_BYTES = 200_000, 64
+MEMO_WORDS, MEMO_BYTES = 100_000, 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -28,11 +32,12 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts as little-endian bytes of ``dtype``; equal to the library's encode(text, add_special_tokens=False)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = byte_letters()
@@ -56,7 +61,9 @@ class Encoder:
         text = word.decode("utf-8", "replace")
         core = text.rstrip(_TAIL)
         low = core.lower()
-        if core.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", low) and len(low) == len(core) and "Σ" not in core and unicodedata.is_normalized("NFC", text))):
+        if any(t in text for t in self.added):
+            ids = self._pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        elif core.isalpha() and (core.isascii() or (unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", low) and len(low) == len(core) and "Σ" not in core and unicodedata.is_normalized("NFC", text))):
             tail = text[len(core) :]
             ids = self._piece(low) + (self._piece(tail) if tail else b"")
         elif not core and text:
@@ -77,12 +84,15 @@ class Encoder:
         return b"".join([known(w) or self._word(w) for w in text.split()])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """One encoder a worker process and file."""
+    """One encoder a worker process, until another operator uses the worker."""
     return Encoder(path)
 
 
+common.keeps(encoder.cache_clear)
+
+
 def word_tokenizer() -> str:
     """Where the public word tokenizer lies on this machine."""
     import public_tokenizers

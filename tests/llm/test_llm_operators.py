@@ -187,19 +187,21 @@ def test_best_region_is_best():
 # 6 and 10
 
 
-def reference_ids(texts):
+def reference_ids(texts, special_as_text=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.word_tokenizer())
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
 def test_encoder_equals_the_library(spark):
     odd = ["", "it's I'm foo's", "H̱ello ẖ", "ΣΑΣ", "İ K Å", "a b c\u0085x\x1cy", "é x'́", "12a!!", "<|endoftext|>", "日本語。 👍🏽", "ß ﬁ ǅ"]
+    odd += ["see <|endoftext|> here", "glued<|startoftext|><|endoftext|>on", "<|ENDOFTEXT|> <|endoftext", "é<|endoftext|>'s"]
     odd += [r["text"] for r in documents(spark).select("text").collect()]
-    e = tokens.Encoder(tokens.word_tokenizer())
-    assert [np.frombuffer(e.encode(x.encode()), e.dtype).tolist() for x in odd] == reference_ids(odd)
+    for special_as_text in (False, True):
+        e = tokens.Encoder(tokens.word_tokenizer(), special_as_text)
+        assert [np.frombuffer(e.encode(x.encode()), e.dtype).tolist() for x in odd] == reference_ids(odd, special_as_text)
 
 
 def test_token_files_round_trip(spark, odd_docs, no_docs):
@@ -215,12 +217,29 @@ def test_token_files_round_trip(spark, odd_docs, no_docs):
 
 def test_elias_fano():
     rnd = np.random.default_rng(3)
-    for n, u in ((1, 0), (1, 9), (100, 100), (777, 10**9), (64, 64 * 5)):
+    for n, u in ((1, 0), (1, 9), (100, 100), (777, 10**9), (64, 64 * 5), (300, 2**62)):
         v = np.sort(rnd.integers(0, u + 1, n))
         e = binary.EliasFano.from_bytes(binary.EliasFano.encode(v).to_bytes())
         assert (e.decode() == v).all() and [e.select(i) for i in range(n)] == v.tolist()
 
 
+def test_segments_select_documents_without_decoding(monkeypatch):
+    monkeypatch.delattr(binary.EliasFano, "decode")
+    names = [None, None, -(2**62), -5, 0, 0, 7, 2**62]
+    ends = [1, 4, 5, 9, 9, 10, 400, 401]
+    here = binary.Segment(binary.Segment.write(np.arange(401, dtype="<u2").tobytes(), 2, ends, names))
+    assert [here.doc_id(i) for i in range(8)] == names and [here.boundaries.select(i) for i in range(9)] == [0, *ends] and here.ids.tolist() == list(range(401))
+
+
+def test_packing_of_many_rows_without_id(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.expr("repeat('word ', 1 + id % 1500)").alias("text"))
+    got = packing.pack(packing.cut(docs), 4000, limit=64)
+    sizes = [r["n"] for r in got.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    assert sum(sizes) == sum(2 + k % 1500 for k in range(4000)) and max(sizes) <= 2048 and len(sizes) <= 1.1 * sum(sizes) / 2048 + 3
+    shares = Counter(r["sequence_id"] >> 40 for r in got.collect())
+    assert len(shares) == 2 and min(shares.values()) > 1800
+
+
 def test_packing_is_whole_and_tight(spark, odd_docs, no_docs):
     for docs in (documents(spark), odd_docs):
         data = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
