@@ -1,9 +1,11 @@
 """Best-fit packing of token sequences with a bounded number of open bins.
 
-Texts are encoded where they are read; only narrow piece rows (id, piece, length, checksum) are shuffled, dealt evenly
-by hash. Each task packs its pieces, longest first, by best fit: open bins hang in a bitset keyed by free space, so the
-tightest bin that fits is one shift and one lowest set bit away. The number of open bins is fixed; when it is reached,
-the fullest bin closes. A task's waste is its last few bins, so it packs many pieces (``PACK_PIECES``).
+Texts are encoded where they are read; only narrow piece rows (id, piece, length, checksum) are shuffled, dealt evenly by
+their place in the input, whatever their ids are. A task packs the pieces of its shares as they arrive, by best fit: open bins hang in a
+bitset keyed by free space, so the tightest bin that fits is one shift and one lowest set bit away. The number of open
+bins is fixed (``OPEN_BINS``); when it is reached, the fullest bin closes. Pieces arrive in windows of about ``ARRIVE``
+for each open bin (by hash), the longest of a window first, so that short ones can fill what is left, and open bins stay
+open from window to window. A share's waste is its last bins, so it has many pieces (``PACK_PIECES``).
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed each for itself; a document longer
 than a sequence is cut into full pieces and a rest. An empty table gives no rows. Other columns of the input are ignored.
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common, tokens
 
-#: Tokens of a sequence; id that ends a document; open bins a task; pieces a packing task gets on average.
-LENGTH, END_ID, OPEN_BINS, PACK_PIECES = 2048, 0, 1 << 16, 50_000
+#: Tokens of a sequence; id that ends a document; open bins a share; pieces of a window for each of them; pieces of a share on average.
+LENGTH, END_ID, OPEN_BINS, ARRIVE, PACK_PIECES = 2048, 0, 512, 4, 50_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -64,6 +66,7 @@ def cut(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end
     """A row for each piece of each document of (doc_id, text): where it starts, how long it is, and the checksum of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("tokens")
         encoder = tokens.encoder(tokenizer or tokens.word_tokenizer())
         for part in common.slices(batches):
             out: list[tuple] = []
@@ -84,24 +87,27 @@ def place(lengths: Iterable[int], size: int = LENGTH, limit: int = OPEN_BINS) ->
 
 
 def pack(pieces: DataFrame, rows: int, length: int = LENGTH, limit: int = OPEN_BINS) -> DataFrame:
-    """``pieces`` with sequence_id and offset; ``rows`` (about how many documents there are) sets the number of tasks."""
-    deal = max(2, -(-rows // PACK_PIECES))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(deal))
+    """``pieces`` with sequence_id and offset; ``rows`` (about how many documents there are) sets the number of shares."""
+    shares = max(2, -(-rows // PACK_PIECES))
+    windows = max(1, min(PACK_PIECES, rows // shares) // (ARRIVE * limit))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins: dict[int, OpenBins] = {}  # tasks that hash alike share a partition
+        share, bins = None, OpenBins(length, limit)  # shares come one after the other
         for batch in batches:
-            shares = batch.column("share").to_numpy()
-            sizes = batch.column("length").to_numpy()
-            for share in np.unique(shares).tolist():
-                if share not in bins:
-                    bins[share] = OpenBins(length, limit)
-            put = [bins[s].place(n) for s, n in zip(shares.tolist(), sizes.tolist(), strict=True)]
-            where, offset = np.array(put, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array((shares << 40) + where), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    dealt = pieces.withColumn("share", spread).repartition(deal, "share").sortWithinPartitions("share", F.desc("length"), "doc_id", "piece", "ids_crc32")
-    return dealt.mapInArrow(run, PIECES + ", sequence_id bigint, offset bigint")
+            where, offset = [], []
+            for s, n in zip(batch.column("share").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                if s != share:
+                    share, bins = s, OpenBins(length, limit)
+                b, at = bins.place(n)
+                where.append((s << 40) + b)
+                offset.append(at)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(where, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    # by place in the input: one doc_id, or none, may have any number of rows
+    placed = pieces.withColumn("place", F.monotonically_increasing_id())
+    dealt = placed.select("*", F.pmod(F.xxhash64("place"), F.lit(shares)).alias("share"), F.pmod(F.xxhash64("place", F.lit("window")), F.lit(windows)).alias("window"))
+    ordered = dealt.repartition(shares, "share").sortWithinPartitions("share", "window", F.desc("length"), "place").drop("place", "window")
+    return ordered.mapInArrow(run, PIECES + ", sequence_id bigint, offset bigint")
 
 
 def sequences(packed: DataFrame, ids: DataFrame) -> DataFrame:
