@@ -78,7 +78,8 @@ def test_decontamination_finds_edited_copies(spark, odd_docs, no_docs):
                 w[rnd.randrange(len(w))] = "zzz"
             docs.append((100 + len(docs), " ".join([f"x{rnd.randrange(999)}" for _ in range(rnd.randrange(40))] + w + ["end"] * rnd.randrange(9))))
             planted.add((docs[-1][0], i))
-    docs += [(900, items[6][1])]
+    docs += [(900, "a " + items[6][1])]  # short items count too
+    planted.add((900, 6))
     df = spark.createDataFrame(docs, "doc_id long, text string").unionByName(odd_docs.select("doc_id", "text"))
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     got = decontaminate.contaminated(df, bench).collect()
@@ -109,6 +110,40 @@ def test_decontamination_loses_no_copy_at_the_edit_limit(spark):
     assert got == {(k, k): distance(items[k], docs[k]) for k in items}
 
 
+@pytest.mark.parametrize("percent", [0, 10, 20])
+def test_decontamination_recall_by_length(percent):
+    rnd = random.Random(percent)
+    word = lambda: f"w{rnd.randrange(200_000)}"
+    sizes = [*range(1, 21), *range(24, 60, 5), 75, 100, 125, 150]
+    items = [[word() for _ in range(n)] for n in sizes for _ in range(40)]
+    index = decontaminate.Items(list(range(len(items))), [" ".join(w).encode() for w in items])
+    copies = []
+    for w in items:
+        w = list(w)
+        for _ in range(len(w) * percent // 100):
+            at, what = rnd.randrange(len(w)), rnd.randrange(3)
+            w[at : at + (what > 0)] = [word()] if what < 2 else []
+        copies.append(" ".join([word() for _ in range(rnd.randrange(9))] + w + [word() for _ in range(rnd.randrange(9))]).encode())
+    hashes, first, _, _ = decontaminate.words(copies)
+    near = {(d, i) for d, i, lo, hi in index.spans(hashes, first) if index.distance(i, hashes[lo:hi].tolist())[0] <= index.allowed[i]}
+    lost = Counter(len(items[k]) for k in range(len(items)) if (k, k) not in near)
+    assert max(lost.values(), default=0) <= 2  # of 40: at least 0.95 for every length
+    assert sum(lost.values()) <= 0.002 * len(items)
+
+
+def test_decontamination_in_blocks_equals_one_block_and_brute_force(spark, monkeypatch):
+    docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    whole = rows(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "start", "edits")
+    low = lambda t: t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    texts = {r["doc_id"]: WORD.findall(low(r["text"])) for r in docs.collect()}
+    items = {r["item_id"]: WORD.findall(low(r["text"])) for r in bench.collect()}
+    some = dict(sorted(items.items())[:8])
+    brute = sorted((d, i, distance(w, t)) for d, t in texts.items() for i, w in some.items() if distance(w, t) <= len(w) // 5)
+    assert sorted((d, i, e) for d, i, _, e in whole if i in some) == brute
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)
+    assert rows(decontaminate.contaminated(docs, bench), "doc_id", "item_id", "start", "edits") == whole
+
+
 def test_decontamination_of_a_copy_without_its_head_after_empty_rows(spark):
     item = [f"w{k}" for k in range(20)]
     docs = [(1, "x " * 50), (2, None), (3, ""), (4, "y"), (5, " ".join(item[4:] + ["end"] * 30))]
