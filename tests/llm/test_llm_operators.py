@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -211,6 +212,26 @@ def test_extraction_odd_pages(spark):
     assert html.main_text(df.limit(0)).count() == 0
 
 
+def test_extraction_without_telling_names():
+    text = "<p>This is a paragraph of the main text, which goes on for a while and says something about the world. It ends here.</p>"
+    said = "I really liked this piece and wanted to say so at some length, as one does. Great work indeed, thanks."
+    want = "\n\n".join([text[3:-4]] * 5)
+    entries = ["".join(f"<div><b>Ann {k}</b><p>{said}</p></div>" for k in range(6)), f"<p>{said}</p>" * 6]
+    assert all(html.extract(f"<body><div>{text * 5}</div><div class='user-posts'>{e}</div></body>") == want for e in entries)
+    assert html.extract(f"<body><div>{text * 5}</div><div class='zq'>{entries[0]}</div></body>") == want
+    table = f"<table><tr><td>Home About us Contact</td><td>{text * 5}</td></tr><tr><td>Copyright 2020 Some Firm</td></tr></table>"
+    assert html.extract(f"<body>{table}</body>") == want
+    assert html.extract(f"<article>{text * 5}<p>All rights reserved.</p></article><footer>&copy; x</footer>") == want + "\n\nAll rights reserved."
+    assert html.extract("<main><h2>One</h2><ul><li>apples</li><li>pears</li></ul><p>So be it</p></main>") == "One\n\napples\n\npears\n\nSo be it"
+
+
+@pytest.mark.parametrize("markup", ["<a ", "<!--", '<div class="', "<a '\">", "<div><p>", "<span>", "</x>", '<a ">"', "<b><div>", "<script>", "<![CDATA[", "<p class='a", "<", "<i><div></i>", "&amp;", "<p>x"])
+def test_hostile_markup_takes_linear_time(markup):
+    start = time.process_time()
+    assert html.extract("<p>one paragraph of words that are text.</p>" + markup * (2_000_000 // len(markup))).startswith("one paragraph of words")
+    assert time.process_time() - start < 30
+
+
 def test_best_region_is_best():
     rnd = random.Random(2)
     for _ in range(300):
