@@ -4,11 +4,13 @@ Sets that are equal are one set from the start. Under a global order of shingles
 threshold share at least k of their first n - ceil(t * n) + k shingles (their keys), for any k. Keys that a single set has
 are dropped at once, and so are sets with too few keys left to have a partner (``SURPLUS`` sets k by size). Then:
 
-1. Each set goes to the groups of its first few shared keys (``GROUPS``), with its text. Groups of many shingles are salted into parts,
-   and a task holds two parts, so its size is bounded. A signature tree finds linked sets exactly, and only a tree of links
-   leaves the task. Components of these links come from star rounds.
+1. Each set goes to the groups of its first few shared keys (``GROUPS``), once to each, with its text. Groups of many shingles are
+   salted into parts, differently for each key, and a task holds one part, so texts move a fixed number of times whatever
+   the group's size. A signature tree finds linked sets of a part exactly, and only a tree of links leaves the task.
+   Components of these links come from star rounds; as a set is in several differently salted groups, copies of one text grow together.
 2. What is left are keys that sets of different components share. There a tree over small signatures (a bitmap over an
-   eighth of the shingles) yields the few candidate pairs that have met in no group, and their texts decide.
+   eighth of the shingles) yields the few candidate pairs that have met in no part, and their texts decide. Keys of many
+   such sets are salted too, and a task holds a pair of parts; only ids and signatures are repeated for that.
 
 A signature tree's node has the OR of its sets' bitmaps and the range of their sizes; a walk over pairs of nodes skips a
 pair if its largest possible overlap is below what its sizes need, or if all its sets are in one component already.
@@ -27,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from . import common
 from .components import components
@@ -41,8 +42,8 @@ CENSUS_BYTES = 8 << 20
 SURPLUS = 7
 #: Groups that each set joins with its text.
 GROUPS = 3
-#: Shingles of all sets in one salted part; sets in a leaf; bits of a signature.
-PART_SHINGLES, LEAF, BITS = 1_500_000, 32, 512
+#: Shingles of all sets in one salted part; signatures in one; sets in a leaf; bits of a signature.
+PART_SHINGLES, PART_SETS, LEAF, BITS = 1_500_000, 100_000, 32, 512
 _HOT = np.uint64(1 << 62)
 
 
@@ -139,29 +140,21 @@ class Forest:
         self.up[max(i, j)] = min(i, j)
 
 
-def cluster(texts: list[bytes], width: int, percent: int, part: np.ndarray | None = None) -> list[int]:
-    """For each text (of distinct sets), the first text of its component within this list, exactly; with ``part``, by pairs of different parts alone."""
+def cluster(texts: list[bytes], width: int, percent: int) -> list[int]:
+    """For each text (of distinct sets), the first text of its component within this list, exactly."""
     hashes, starts = shingle_sets(texts, width)
     sizes = np.diff(starts)
-    if part is not None and part.min() == part.max():
-        part = None
-    order = np.argsort(sizes, kind="stable") if part is None else np.lexsort((sizes, part))
+    order = np.argsort(sizes, kind="stable")
     bits, sampled = signatures(hashes, starts)
     tree = SignatureTree(bits[order], sizes[order], sampled[order])
     forest = Forest(len(texts))
     rows = order.tolist()
-    side = None if part is None else part[order]
 
     def same(a: int, b: int, c: int, d: int) -> bool:
-        if side is not None and side[a] == side[b - 1] == side[c] == side[d - 1]:
-            return True
         r = forest.root(rows[a])
         return all(forest.root(rows[k]) == r for k in (*range(a, b), *range(c, d)))
 
     for left, right in tree.walk(percent, same):
-        if side is not None:
-            cross = side[left] != side[right]
-            left, right = left[cross], right[cross]
         for i, j in zip(left.tolist(), right.tolist(), strict=True):
             i, j = rows[i], rows[j]
             if forest.root(i) != forest.root(j):
@@ -198,6 +191,7 @@ def _census(docs: DataFrame, width: int) -> DataFrame:
     """kind 0: (doc_id, n, set_id, tag of the text) of each row; kind 1: (shingle, times, 0, 0) of shingles that a slice of rows repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("jaccard")
         for part in common.slices(batches, limit=CENSUS_BYTES):
             hashes, starts = shingle_sets(common.text_bytes(part.column("text")).to_pylist(), width)
             n = len(starts) - 1
@@ -213,6 +207,7 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -
     """(key, set_id, n): each set's first shingles in the global order, frequent ones last; once for equal sets of a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("jaccard")
         for part in common.slices(batches, limit=CENSUS_BYTES):
             hashes, starts = shingle_sets(common.text_bytes(part.column("text")).to_pylist(), width)
             ids, size = set_ids(hashes, starts), np.diff(starts)
@@ -231,9 +226,9 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -
 
 
 def _shared(rows: DataFrame, by: str) -> DataFrame:
-    """Rows of keys under which ``by`` has two values or more."""
-    over = W.partitionBy("key")
-    return rows.withColumn("_low", F.min(by).over(over)).withColumn("_high", F.max(by).over(over)).filter("_low < _high").drop("_low", "_high")
+    """Rows of keys under which ``by`` has two values or more: an aggregate that combines before its shuffle, and a join that can be split where a key is hot."""
+    ends = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high")).filter("low < high").select("key")
+    return rows.join(ends, "key", "left_semi")
 
 
 def _partnered(keys: DataFrame, percent: int) -> DataFrame:
@@ -255,7 +250,8 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     frequent = np.sort(np.array([r["id"] for r in often.select("id").collect()], np.uint64))
     rows = census.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "set_id", "tag")
 
-    shared = common.materialize(_partnered(_shared(_prefixes(docs, width, percent, frequent), "set_id").distinct(), percent), "keys")
+    prefixes = common.materialize(_prefixes(docs, width, percent, frequent), "prefixes")
+    shared = common.materialize(_partnered(_shared(prefixes, "set_id").distinct(), percent), "keys")
     shared = common.materialize(_partnered(_shared(shared, "set_id"), percent), "keys")
     # frequent shingles first here: near copies of a common text share those, while their rare ones are their edits
     turned = F.col("key").bitwiseXOR(F.lit(int(_HOT >> np.uint64(1))))
@@ -270,28 +266,33 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # 1. a few groups for each set
     grouped = texts.withColumn("key", F.explode("firsts"))
     size = grouped.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter("members > 1").select("key", F.ceil(F.col("total") / PART_SHINGLES).cast("int").alias("salts"))
-    # a task for each pair of parts
-    part = F.pmod(F.hash("set_id"), F.col("salts")).alias("part")
-    dealt = grouped.join(size, "key").select("key", "set_id", "n", "text", part, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
-    dealt = dealt.withColumns({"one": F.least("part", "other"), "two": F.greatest("part", "other")})
+    part = F.pmod(F.xxhash64("set_id", "key"), F.col("salts")).cast("int").alias("part")
+    dealt = grouped.join(size, "key").select("key", part, "set_id", "n", "text")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["key", "one", "two"]):
+        common.begin("jaccard")
+        for group in groups(batches, ["key", "part"]):
             ids = group.column("set_id").to_numpy()
             if len(ids) > 1:
-                root = np.array(cluster(common.text_bytes(group.column("text")).to_pylist(), width, percent, group.column("part").to_numpy()))
+                root = np.array(cluster(common.text_bytes(group.column("text")).to_pylist(), width, percent))
                 far = np.flatnonzero(ids != ids[root])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[root[far]])], ["a", "b"])
+        common.finish()
 
-    parts = dealt.select("key", "one", "two", "part", "set_id", "n", "text").repartition("key", "one", "two").sortWithinPartitions("key", "one", "two", "n", "set_id")
+    parts = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "n", "set_id")
     local = common.materialize(components(parts.mapInArrow(link, "a bigint, b bigint")).select(F.col("id").alias("set_id"), F.col("component").alias("local")), "local")
 
     # 2. keys shared across components
     placed = shared.join(local, "set_id", "left").withColumn("local", F.coalesce("local", "set_id"))
     open_keys = common.materialize(_shared(placed, "local"), "open")
-    been = texts.select("set_id", F.concat("firsts", F.array_repeat(F.lit(-1).cast("bigint"), GROUPS - F.size("firsts"))).alias("been")).distinct()
+    # where a set has been: its parts, as many as it has groups
+    met = texts.select("set_id", F.explode("firsts").alias("key")).join(size, "key").select("set_id", F.xxhash64("key", part).alias("met"))
+    met = met.groupBy("set_id").agg(F.collect_set("met").alias("met"))
+    been = texts.select("set_id").distinct().join(met, "set_id", "left").withColumn("met", F.coalesce("met", F.array().cast("array<bigint>")))
+    been = been.select("set_id", F.concat("met", F.array_repeat(F.lit(0).cast("bigint"), GROUPS - F.size("met"))).alias("been"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("jaccard")
         for part in common.slices(batches):
             hashes, starts = shingle_sets(common.text_bytes(part.column("text")).to_pylist(), width)
             bits, sampled = signatures(hashes, starts)
@@ -300,10 +301,16 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     signs = texts.join(open_keys.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "text").mapInArrow(sign, "set_id bigint, bits binary, sampled bigint").distinct()
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
     # a set meets its own band of sizes, and the next one as a guest
-    banded = open_keys.join(signs.join(been, "set_id"), "set_id").withColumn("band", F.explode(F.array(band, band + 1))).withColumn("guest", F.col("band") != band)
+    narrow = open_keys.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("guest", F.col("band") != band)
+    many = narrow.groupBy("key", "band").agg(F.ceil(F.count("*") / PART_SETS).cast("int").alias("salts"))
+    side = F.pmod(F.xxhash64("set_id"), F.col("salts")).cast("int").alias("side")
+    sided = narrow.join(many, ["key", "band"]).select("key", "band", "set_id", "n", "local", "guest", side, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("other"))
+    sided = sided.withColumns({"one": F.least("side", "other"), "two": F.greatest("side", "other")})
+    banded = sided.join(signs.join(been, "set_id"), "set_id")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["key", "band"]):
+        common.begin("jaccard")
+        for group in groups(batches, ["key", "band", "one", "two"]):
             local_ids, guest = group.column("local").to_numpy(), group.column("guest").to_numpy()
             if len(local_ids) < 2 or guest.all() or (local_ids == local_ids[0]).all():
                 continue
@@ -319,15 +326,17 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for i, j in tree.walk(percent, same):
                 keep = (local_ids[i] != local_ids[j]) & ~(guest[i] & guest[j])
                 i, j = i[keep], j[keep]
-                met = ((been[i][:, :, None] == been[j][:, None]) & (been[i][:, :, None] >= 0)).any((1, 2))
+                met = ((been[i][:, :, None] == been[j][:, None]) & (been[i][:, :, None] != 0)).any((1, 2))
                 if not met.all():
                     x, y = ids[i[~met]], ids[j[~met]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
-    ordered = banded.repartition("key", "band").sortWithinPartitions("key", "band", "local", "n", "set_id").select("key", "band", "local", "n", "set_id", "guest", "bits", "sampled", "been")
+    ordered = banded.repartition("key", "band", "one", "two").sortWithinPartitions("key", "band", "one", "two", "local", "n", "set_id")
+    ordered = ordered.select("key", "band", "one", "two", "local", "n", "set_id", "guest", "bits", "sampled", "been")
     pairs = common.materialize(ordered.mapInArrow(pair, "a bigint, b bigint").distinct(), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("jaccard")
         for part in common.slices(common.slices(batches), "other"):
             x, xs = shingle_sets(common.text_bytes(part.column("text")).to_pylist(), width)
             y, ys = shingle_sets(common.text_bytes(part.column("other")).to_pylist(), width)

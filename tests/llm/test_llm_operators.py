@@ -414,6 +414,7 @@ def linked(docs, width, percent):
 def test_components_equal_brute_force(spark, monkeypatch, width, percent, part):
     if part:
         monkeypatch.setattr(jaccard, "PART_SHINGLES", part)
+        monkeypatch.setattr(jaccard, "PART_SETS", 5)
     rnd = random.Random(6)
     base = [[f"w{rnd.randrange(400)}" for _ in range(n)] for n in (30, 60, 60, 120, 200)]
     docs = []
@@ -428,6 +429,17 @@ def test_components_equal_brute_force(spark, monkeypatch, width, percent, part):
     assert rows(jaccard.jaccard_components(df, width, percent), "doc_id", "n_shingles", "component_id") == sorted(linked(docs, width, percent), key=str)
 
 
+def test_one_shingle_in_all_sets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", 300)
+    monkeypatch.setattr(jaccard, "PART_SETS", 7)
+    rnd = random.Random(16)
+    docs = [(k, "all rights reserved " + " ".join(f"w{rnd.randrange(60)}" for _ in range(rnd.choice((0, 1, 2, 12))))) for k in range(150)]
+    docs += [(k + 150, t + " w7") for k, t in docs[::3]]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(jaccard.jaccard_components(df, 3, 90), "doc_id", "n_shingles", "component_id") == sorted(linked(docs, 3, 90), key=str)
+    assert rows(jaccard.jaccard_components(df, 3, 50), "doc_id", "n_shingles", "component_id") == sorted(linked(docs, 3, 50), key=str)
+
+
 def test_components_of_odd_tables(spark, odd_docs, no_docs):
     data = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
     assert rows(jaccard.jaccard_components(odd_docs, 3, 90), "doc_id", "n_shingles", "component_id") == sorted(linked(data, 3, 90), key=str)
