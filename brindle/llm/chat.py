@@ -113,6 +113,7 @@ def digests(parsed: DataFrame) -> DataFrame:
     """One row for each conversation: counts and checksums over its messages in order, streamed over sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("chat")
         now: list | None = None  # conv_id, turns, hash of turns, loss chars, hash of loss, chars
         done: list[tuple] = []
 

@@ -34,31 +34,45 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-_scratch: list[str] = []
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts the lineage, and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _scratch.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Tables:
+    """The tables that one run of an operator writes into the shared folder.
 
+    Writing a table and reading it back cuts the lineage, and survives lost executors. Tables lie in a folder named by the application.
+    """
 
-def scratch() -> list[str]:
-    """Paths of the tables that :func:`materialize` has written and nobody has released."""
-    return list(_scratch)
+    def __init__(self) -> None:
+        self.paths: list[str] = []
 
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        spark = df.sparkSession
+        path = f"{shared_dir(spark)}/brindle-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-def release(spark: SparkSession, paths: list[str]) -> None:
-    """Delete scratch tables; the caller knows that no frame over them is still needed."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in paths:
-        if path in _scratch:
-            _scratch.remove(path)
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
+    def only(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and delete all tables that were written before; no frame over those may be used any more."""
+        before, self.paths = self.paths, []
+        out = self.write(df, name)
+        _delete(df.sparkSession, before)
+        return out
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete all of them."""
+        before, self.paths = self.paths, []
+        _delete(spark, before)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write one table that stays until the application's folder is deleted."""
+    return Tables().write(df, name)
 
 
 _worker: dict[str, str] = {}

@@ -20,15 +20,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.filter(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every vertex of ``edges`` (a, b); component is the least id reachable. Vertices without edges aren't listed."""
-    now = common.materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
+def components(edges: DataFrame) -> tuple[DataFrame, common.Tables]:
+    """(id, component) for every vertex of ``edges`` (a, b), and the table it lies in; component is the least id reachable. Vertices without edges aren't listed."""
+    tables = common.Tables()
+    now = tables.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     n = now.count()
     while True:
-        before, old = now, n
-        now = common.materialize(_star(_star(now, True), False), "edges")
-        n = now.count()
-        if n == old and not now.join(before, ["a", "b"], "left_anti").limit(1).count():
+        step = common.Tables()
+        new = step.write(_star(_star(now, True), False), "edges")
+        same = new.count() == n and not new.join(now, ["a", "b"], "left_anti").limit(1).count()
+        n = new.count()
+        tables.drop(new.sparkSession)
+        now, tables = new, step
+        if same:
             break
     labels = now.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return labels.union(now.select("b", "b").distinct()).distinct()
+    return tables.only(labels.union(now.select("b", "b").distinct()).distinct(), "components"), tables

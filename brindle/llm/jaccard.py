@@ -245,14 +245,17 @@ def jaccard_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """:func:`jaccard_components` with each row's tag, the ``xxhash64`` of its text."""
-    census = common.materialize(_census(docs, width), "census")
+    tables = common.Tables()
+    census = tables.write(_census(docs, width), "census")
     often = census.filter("kind = 1").groupBy("id").agg(F.sum("n").alias("times")).orderBy(F.desc("times"), "id").limit(FREQUENT)
     frequent = np.sort(np.array([r["id"] for r in often.select("id").collect()], np.uint64))
     rows = census.filter("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "set_id", "tag")
 
-    prefixes = common.materialize(_prefixes(docs, width, percent, frequent), "prefixes")
-    shared = common.materialize(_partnered(_shared(prefixes, "set_id").distinct(), percent), "keys")
-    shared = common.materialize(_partnered(_shared(shared, "set_id"), percent), "keys")
+    early = common.Tables()
+    prefixes = early.write(_prefixes(docs, width, percent, frequent), "prefixes")
+    shared = early.only(_partnered(_shared(prefixes, "set_id").distinct(), percent), "keys")
+    shared = tables.write(_partnered(_shared(shared, "set_id"), percent), "keys")
+    early.drop(docs.sparkSession)
     # frequent shingles first here: near copies of a common text share those, while their rare ones are their edits
     turned = F.col("key").bitwiseXOR(F.lit(int(_HOT >> np.uint64(1))))
     firsts = F.transform(F.slice(F.sort_array(F.collect_list(turned)), 1, GROUPS), lambda k: k.bitwiseXOR(F.lit(int(_HOT >> np.uint64(1)))))
@@ -261,7 +264,7 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     wanted = first.join(sets, "set_id")
     tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
     # rows that are repeated as a whole give equal rows; nothing below counts them
-    texts = common.materialize(tagged.join(wanted, ["doc_id", "tag"]).select("set_id", "firsts", "n", "text"), "texts")
+    texts = tables.write(tagged.join(wanted, ["doc_id", "tag"]).select("set_id", "firsts", "n", "text"), "texts")
 
     # 1. a few groups for each set
     grouped = texts.withColumn("key", F.explode("firsts"))
@@ -280,11 +283,13 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         common.finish()
 
     parts = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "n", "set_id")
-    local = common.materialize(components(parts.mapInArrow(link, "a bigint, b bigint")).select(F.col("id").alias("set_id"), F.col("component").alias("local")), "local")
+    linked, made = components(parts.mapInArrow(link, "a bigint, b bigint"))
+    tables.paths += made.paths
+    local = linked.select(F.col("id").alias("set_id"), F.col("component").alias("local"))
 
     # 2. keys shared across components
     placed = shared.join(local, "set_id", "left").withColumn("local", F.coalesce("local", "set_id"))
-    open_keys = common.materialize(_shared(placed, "local"), "open")
+    open_keys = tables.write(_shared(placed, "local"), "open")
     # where a set has been: its parts, as many as it has groups
     met = texts.select("set_id", F.explode("firsts").alias("key")).join(size, "key").select("set_id", F.xxhash64("key", part).alias("met"))
     met = met.groupBy("set_id").agg(F.collect_set("met").alias("met"))
@@ -333,7 +338,7 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     ordered = banded.repartition("key", "band", "one", "two").sortWithinPartitions("key", "band", "one", "two", "local", "n", "set_id")
     ordered = ordered.select("key", "band", "one", "two", "local", "n", "set_id", "guest", "bits", "sampled", "been")
-    pairs = common.materialize(ordered.mapInArrow(pair, "a bigint, b bigint").distinct(), "pairs")
+    pairs = tables.write(ordered.mapInArrow(pair, "a bigint, b bigint").distinct(), "pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("jaccard")
@@ -349,21 +354,23 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     left = texts.select(F.col("set_id").alias("a"), "text")
     right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("other"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", "text", "other").mapInArrow(verify, "a bigint, b bigint").distinct()
-    links = common.materialize(links, "links")
+    links = tables.write(links, "links")
     names = local
     if links.limit(1).count():
         ends = links.join(local.select(F.col("set_id").alias("a"), F.col("local").alias("la")), "a", "left").join(local.select(F.col("set_id").alias("b"), F.col("local").alias("lb")), "b", "left")
-        joined = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))).withColumnRenamed("id", "local")
+        joined, made = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
+        tables.paths += made.paths
+        joined = joined.withColumnRenamed("id", "local")
         names = local.join(joined, "local", "left").select("set_id", F.coalesce("component", "local").alias("local"))
         names = names.unionByName(joined.join(local, joined["local"] == local["set_id"], "left_anti").select(F.col("local").alias("set_id"), F.col("component").alias("local")))
 
     # the least doc_id of each set, of each component
     labelled = sets.drop("tag").join(names, "set_id", "left").withColumn("component", F.coalesce("local", "set_id"))
     least = labelled.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    final = common.materialize(labelled.join(least, "component").select("set_id", "component_id"), "components")
+    final = tables.write(labelled.join(least, "component").select("set_id", "component_id"), "components")
     found = rows.join(final, "set_id", "left")
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-    return found.select("doc_id", "tag", "n_shingles", alone.alias("component_id"))
+    return tables.only(found.select("doc_id", "tag", "n_shingles", alone.alias("component_id")), "found")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

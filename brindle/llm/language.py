@@ -160,6 +160,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, l
         limit = F.when(F.col("lang") == lang, F.lit(int(min(1.0, per_language / n) * (1 << 30)))).otherwise(limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("language")
         for part in common.slices(batches, limit=1 << 20):
             texts = common.text_bytes(part.column("text")).to_pylist()
             keep = [i for i, t in enumerate(texts) if has_letter(t)]
@@ -193,6 +194,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("language")
         for part in common.slices(batches):
             lang, score = predict(model, common.text_bytes(part.column("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
@@ -205,6 +207,7 @@ def kept(docs: DataFrame, model: Model | None, min_score: float) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("language")
         for part in common.slices(batches):
             lang, score = predict(model, common.text_bytes(part.column("text")).to_pylist())
             good = pa.array([c != UND and s >= min_score for c, s in zip(lang, score.tolist(), strict=True)])

@@ -91,6 +91,7 @@ def statistics(text: bytes | None) -> tuple:
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.begin("quality")
     names = [*COUNTS, *FEATURES]
     kinds = [pa.int64()] * len(COUNTS) + [pa.float64()] * len(FEATURES)
     for part in common.slices(batches):
@@ -176,6 +177,7 @@ def with_score(stats: DataFrame, forest: IsolationForest | None) -> DataFrame:
         return stats.withColumn("anomaly", F.lit(0.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.begin("quality")
         for batch in batches:
             yield batch.append_column("anomaly", pa.array(forest.score(_matrix(batch)), pa.float64()))
 
