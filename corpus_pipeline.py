@@ -17,30 +17,14 @@ from brindle.llm import common, decontaminate, jaccard, language, packing, suffi
 MIN_SCORE, SHINGLE_WORDS, SIMILAR_PERCENT = 0.2, 5, 80
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_before: list[str] = []
 
 
-def _stage(function: Stage) -> Stage:
-    """A stage that first deletes what the stage before it left in the shared folder (whose result has been written by then)."""
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release(spark, _before)
-        known = set(common.scratch())
-        out = function(spark, docs, sf_dir)
-        _before[:] = [p for p in common.scratch() if p not in known]
-        return out
-
-    return run
-
-
-@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts of no believable language; fills missing languages with the prediction."""
     model = language.fit(docs.select("doc_id", "text", "lang").filter(~language.held_out()))
     return language.kept(docs, model, MIN_SCORE)
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each component of near duplicates, and one of rows with equal doc_id and text; documents without words stay."""
     found = jaccard.row_components(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
@@ -50,21 +34,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(kept.filter("doc_id IS NULL")) if again else kept
 
 
-@_stage
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts strings that an earlier document has; documents of which nothing but white space is left go."""
     cut = suffix_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("bigint"))
     return cut.filter(F.col("text").isNull() | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]"))).select(docs.columns)
 
 
-@_stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     leaks = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark", "item_id", "text"))
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
-@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the remaining documents into token sequences."""
     return packing.best_fit(docs)
@@ -83,14 +64,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written and read again."""
+    """All stages over ``documents``; each result is written and read again, and the one before it is deleted then."""
     docs = common.table(spark, sf_dir, "documents")
-    last: list[str] = []
+    tables = common.Tables()
     for name, function in STAGES[:-1]:
-        known = set(common.scratch())
-        out = function(spark, docs, sf_dir)
-        own = set(common.scratch()) - known
-        docs = common.materialize(out, name)
-        common.release(spark, last)
-        last = [p for p in common.scratch() if p not in known and p not in own]
+        docs = tables.only(function(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
