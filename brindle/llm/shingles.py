@@ -26,6 +26,12 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _GROWN: dict[str, np.ndarray] = {"p": _powers(_P, 1), "i": _powers(_P_INVERSE, 1)}
 
 
+def _shrink() -> None:
+    _GROWN.update(p=_powers(_P, 1), i=_powers(_P_INVERSE, 1))
+
+
+common.keeps(_shrink)
+
 #: Bytes of text hashed at once (a longer text is hashed alone); larger tables of powers than this needs aren't kept.
 CHUNK = 1 << 20
 
