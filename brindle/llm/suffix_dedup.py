@@ -52,19 +52,18 @@ _P = np.uint64(0xA0761D6478BD642F)
 
 def rolling(x: np.ndarray) -> np.ndarray:
     """Polynomial hash of each ``GRAM``-byte gram of bytes ``x``, combined from those of 4 and 8 bytes."""
-    h, size, power, parts = _VALUE[x], 1, _P, {}
-    while size <= GRAM:
-        parts[size] = (h, power)
+    base = lambda k: np.uint64(pow(int(_P), k, 1 << 64))
+    h, size, parts = _VALUE[x], 1, {}
+    while True:
+        parts[size] = h
         if size * 2 > GRAM:
             break
-        h = h[:-size] + h[size:] * power
-        power, size = power * power, size * 2
-    out, used, scale, n = np.uint64(0), 0, np.uint64(1), len(x) - GRAM + 1
+        h, size = h[:-size] + h[size:] * base(size), size * 2
+    out, used, n = np.zeros(max(0, len(x) - GRAM + 1), np.uint64), 0, len(x) - GRAM + 1
     for size in sorted(parts, reverse=True):
         if GRAM - used >= size:
-            h, power = parts[size]
-            out = out + h[used : used + n] * scale
-            used, scale = used + size, scale * power
+            out += parts[size][used : used + n] * base(used)
+            used += size
     return common.mix64(out)
 
 
@@ -320,6 +319,14 @@ def suffix_array(raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             break
         run, own = np.cumsum(new)[tied], order[tied]
         key = word[at[own] + depth].astype(np.uint64)
+        # runs whose bytes are all equal here stay as they are
+        unlike = run[1:][(key[1:] != key[:-1]) & (run[1:] == run[:-1])]
+        if not len(unlike):
+            continue
+        mixed = np.zeros(run[-1] + 1, bool)
+        mixed[unlike] = True
+        mixed = mixed[run]
+        tied, run, own, key = tied[mixed], run[mixed], own[mixed], key[mixed]
         by = np.lexsort((key, run))
         order[tied], key = own[by], key[by]
         new[tied[1:]] |= (key[1:] != key[:-1]) & (run[1:] == run[:-1])
