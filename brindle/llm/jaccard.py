@@ -44,6 +44,8 @@ SURPLUS = 7
 GROUPS = 3
 #: Shingles of all sets in one salted part; signatures in one; sets in a leaf; bits of a signature.
 PART_SHINGLES, PART_SETS, LEAF, BITS = 1_500_000, 100_000, 32, 512
+#: Places in which the rows of a frequent key are looked at.
+SIDES = 32
 _HOT = np.uint64(1 << 62)
 
 
@@ -226,9 +228,15 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -
 
 
 def _shared(rows: DataFrame, by: str) -> DataFrame:
-    """Rows of keys under which ``by`` has two values or more: an aggregate that combines before its shuffle, and a join that can be split where a key is hot."""
-    ends = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high")).filter("low < high").select("key")
-    return rows.join(ends, "key", "left_semi")
+    """Rows of keys under which ``by`` has two values or more: an aggregate that combines before its shuffle, and a join that deals frequent keys out.
+
+    Only keys of frequent shingles, at most ``FREQUENT``, can have many rows; each of those meets its rows in ``SIDES`` places.
+    """
+    often = F.col("key").bitwiseAND(F.lit(int(_HOT >> np.uint64(1)))) != 0
+    ends = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high")).filter("low < high")
+    ends = ends.select("key", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SIDES - 1))).otherwise(F.array(F.lit(0)))).alias("side"))
+    dealt = rows.withColumn("side", F.when(often, F.pmod(F.xxhash64("set_id"), F.lit(SIDES))).otherwise(0).cast("int"))
+    return dealt.join(ends, ["key", "side"], "left_semi").select(rows.columns)
 
 
 def _partnered(keys: DataFrame, percent: int) -> DataFrame:
