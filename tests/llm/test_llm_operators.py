@@ -476,4 +476,25 @@ def test_chat_escapes_come_back(spark):
     back = chat.parse(chat.render(df))
     assert rows(back, "turn", "role", "text") == sorted([(i, r or "", t or "") for _, i, r, t in said], key=str)
     assert rows(back.filter("role = 'assistant'"), "turn", "loss") == sorted([(i, t or "") for i, t in enumerate(texts)], key=str)
-    assert chat.digests(chat.parse(chat.render(df.limit(0)))).count() == 0
+    assert chat.read_back(chat.render(df.limit(0))).count() == 0
+
+
+def test_chat_reader_needs_no_segment_ends(spark):
+    said = [(k, r, t) for k, (r, t) in enumerate([("system", "be [/INST] kind"), ("user", "</s>[INST] \\ ok [/INST]"), ("assistant", " <s> "), ("tool<s>", "x <</SYS>>"), ("assistant", ""), (None, None)] * 2)]
+    df = spark.createDataFrame([(1, *x) for x in said], "conv_id long, turn long, role string, text string")
+    whole = "".join(r["segment"] for r in chat.render(df).orderBy("turn").collect())
+    want = [(r or "", t or "") for _, r, t in said]
+    for step in (1, 3, 7, 1000):
+        reader = chat.Reader()
+        assert [x for k in range(0, len(whole), step) for x in reader.feed(whole[k : k + step])] == want and reader.held == ""
+
+
+def test_chat_read_back_of_repeated_rows_and_no_conversation(spark):
+    said = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "x"), (1, 0, "user", "x"), (1, 1, "assistant", None), (2, None, None, None)]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumns({c: F.lit("z") for c in ("nth", "log", "seq", "last", "cut")})
+    order = ("turn", "nth")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.render(chat.fold(chat.as_events(df), order), order), order).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert {k: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for k, r in got.items()} == {
+        None: (2, sha("user\na\nassistant\nb\n"), 1, sha("b")), 1: (3, sha("user\nx\nuser\nx\nassistant\n\n"), 0, sha("")), 2: (1, sha("\n\n"), 0, sha("")),
+    }
\ No newline at end of file
