@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Base statistics (counts) and the columns the forest sees.
+#: Base statistics (counts) and the columns the forest sees. Marks are "!" (shouting, as in advertising), pipes are "|" (what
+#: menus and tables leave when their markup is lost); shares of all punctuation, of words without letters and the entropy of
+#: bytes were measured instead of these two, and told fewer of the labelled bad rows (182 and 180 against 256 of 301 at sf0.1).
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["word_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "distinct_share", "mark_share", "pipe_share"]
 SCHEMA = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", " + ", ".join(f"{c} double" for c in FEATURES)
