@@ -82,13 +82,29 @@ def role(association: Column) -> Column:
     return F.when(association.isin(MAINTAINER), "maintainer").when(association.isin(EXTERNAL), "external").otherwise("unknown")
 
 
+#: An address of a repository inside any text, and the marks that open and close an answer's code fence.
+ADDRESS = r"(?i)(?:https?://)?(?:www\.)?github\.com[/:]([^/#?\s]+)/([^/#?\s]+)"
+FENCE = "```"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def normalize_repo(value: Column) -> Column:
-    """``github:owner/repo`` in lower case from urls, ssh addresses, prefixed keys or plain paths; null if it is none of these."""
-    text = F.regexp_replace(F.regexp_replace(F.trim(value), r"[?#].*$", ""), "/+$", "")
-    path = F.regexp_replace(text, r"(?i)^(?:git\+)?(?:github:|(?:(?:https?|ssh|git)://)?(?:[^@/]+@)?(?:www\.)?github\.com[/:])", "")
-    parts = F.regexp_extract(path, r"^([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)(?:/.*)?$", 0)
-    owner, repo = F.split_part(parts, F.lit("/"), F.lit(1)), F.regexp_replace(F.split_part(parts, F.lit("/"), F.lit(2)), r"(?i)\.git$", "")
-    return F.when((owner != "") & (repo != "") & ~F.lower(owner).isin("http:", "https:"), F.lower(F.concat(F.lit("github:"), owner, F.lit("/"), repo)))
+    """``github:owner/repo`` in lower case from an address anywhere in a text, a prefixed key or a plain path; null if there is none.
+
+    Quotes around the value, slashes at its ends, a .git suffix, queries and fragments don't count; backslashes are slashes.
+    """
+    text = F.regexp_replace(stripped(value), r"^[\"']+|[\"']+$", "")
+    found = F.concat_ws("/", F.regexp_extract(text, ADDRESS, 1), F.regexp_extract(text, ADDRESS, 2))
+    path = F.when(F.lower(text).startswith("github:"), F.substr(text, F.lit(8))).when(found != "/", found).otherwise(text)
+    path = F.regexp_replace(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+|/+$", ""), r"(?i)\.git$", "")
+    path = F.regexp_replace(F.regexp_replace(path, r"[?#](?s:.*)$", ""), "^/+|/+$", "")
+    parts = F.split(path, "/")
+    owner, repo = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    return F.when((owner != "") & (repo != ""), F.lower(F.concat(F.lit("github:"), owner, F.lit("/"), repo)))
 
 
 def legacy_repo(url: Column) -> Column:
@@ -112,12 +128,13 @@ def sentences(text: Column) -> Column:
     return F.split(F.replace(text, F.lit("\n"), F.lit(" ")), r"(?<=[.!?])\s+")
 
 
-def snippet(text: Column, pattern: str, window: int = 5) -> Column:
-    """The first sentence that matches with ``window`` sentences on either side, or null."""
-    parts = sentences(text)
+def snippet(text: Column, pattern: str | None = None, window: int = 5) -> Column:
+    """The first sentence that matches with ``window`` sentences on either side, or null; without a pattern, those of :data:`DEPRECATION`."""
+    pattern = pattern or deprecation_pattern()
+    parts = sentences(stripped(text))
     hit = F.array_position(F.transform(parts, lambda s: F.rlike(s, F.lit(pattern))), True)
     first = F.greatest(F.lit(1), hit - window)
-    return F.when(hit > 0, F.array_join(F.slice(parts, first.cast("int"), (hit + window - first + 1).cast("int")), " "))
+    return F.when(hit > 0, stripped(F.array_join(F.slice(parts, first.cast("int"), (hit + window - first + 1).cast("int")), " ")))
 
 
 def described(name: Column, fields: dict[str, Column]) -> Column:
@@ -130,11 +147,14 @@ def described(name: Column, fields: dict[str, Column]) -> Column:
 
 
 def parsed_answer(raw: Column, schema: str, fields: list[str]) -> Column:
-    """A model's JSON answer, without a code fence; every field is PARSE_ERROR if it is no object."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", "")
-    made = F.from_json(bare, schema, {"mode": "PERMISSIVE"})
-    bad = F.coalesce(F.get_json_object(bare, "$"), F.lit("")) == ""
-    return F.struct(*[F.when(bad, F.lit("PARSE_ERROR")).otherwise(F.coalesce(made[f], F.lit(""))).alias(f) for f in fields])
+    """A model's JSON answer, without a code fence, fields trimmed; every field is PARSE_ERROR if it is no object, and functional_role then says what came."""
+    text = stripped(raw)
+    inside = F.get(F.split(text, FENCE), F.lit(1))
+    text = stripped(F.when(text.startswith(FENCE), F.when(inside.startswith("json"), F.substr(inside, F.lit(5))).otherwise(inside)).otherwise(text))
+    made = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    bad = F.coalesce(F.get_json_object(text, "$"), F.lit("")) == ""
+    error = lambda f: F.concat(F.lit("PARSE_ERROR: "), F.substring(text, 1, 120)) if f == "functional_role" else F.lit("PARSE_ERROR")
+    return F.struct(*[F.when(bad, error(f)).otherwise(F.coalesce(stripped(made[f]), F.lit(""))).alias(f) for f in fields])
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -159,7 +179,16 @@ def shortened(name: Column, limit: int = 26) -> Column:
     return F.when(F.length(name) > limit, F.concat(F.substring(name, 1, limit), F.lit("…"))).otherwise(name)
 
 
-def prompt(title: Column, description: Column, keywords: Column, readme: Column) -> Column:
-    """The question put to a describing model, from truncated parts."""
-    line = lambda label, c, n: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), F.substring(c, 1, n)))
-    return F.concat_ws("\n", F.concat(F.lit("Crate: "), title), line("Description: ", description, 600), line("Keywords: ", keywords, 200), line("Readme: ", readme, 1200))
+#: The labelled lines of the question to a describing model, characters kept of each part (None: all), and its last line.
+PROMPT = [("Description: ", "description", 600), ("Keywords: ", "keywords", None), ("Documentation URL: ", "documentation", 200), ("README (excerpt): ", "readme", 1200)]
+PROMPT_NAME, PROMPT_END = "Crate name: ", "\nReturn only the JSON object as specified. No extra text."
+
+
+def prompt(name: Column, **parts: Column) -> Column:
+    """The question put to a describing model, from the trimmed parts (description, keywords, documentation, readme) that aren't empty."""
+    lines = [F.concat(F.lit(PROMPT_NAME), name)]
+    for label, part, most in PROMPT:
+        if part in parts:
+            said = stripped(parts[part])
+            lines.append(F.when(said != "", F.concat(F.lit(label), said if most is None else F.substring(said, 1, most))))
+    return F.concat_ws("\n", *lines, F.lit(PROMPT_END))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.ranks import with_scalars
-from ..session import materialize
+from ..session import forget, materialize
 
 
 def latest_versions(versions: DataFrame, nulls: str = "first") -> DataFrame:
@@ -58,20 +58,22 @@ def weights(nodes: DataFrame, downloads: DataFrame | None) -> DataFrame:
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the least id in each weakly connected component, by large-star and small-star rounds."""
+    """(id, component): the least id in each weakly connected component, by large-star and small-star rounds until nothing changes."""
     now = materialize(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct(), "wcc")
-    mark = None
+    n = now.count()
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).filter("u <> v")
-        now = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "wcc")
-        seen = now.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint"))).first()
-        if seen == mark:
+        new = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "wcc")
+        grown = new.count()
+        same = grown == n and not new.join(now, ["u", "v"], "left_anti").limit(1).count()
+        forget(now)
+        now, n = new, grown
+        if same:
             break
-        mark = seen
     return nodes.select("id").join(now.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
@@ -116,29 +118,42 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(done.join(least, "c").select("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float | None = 1e-10, max_iter: int = 200, cut: int = 5) -> DataFrame:
-    """(id, pagerank): power iteration with dangling mass spread evenly, until the L1 step is under ``tol``, normalised at the end.
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, tol: float | None = 1e-10, max_iter: int = 200) -> DataFrame:
+    """(id, pagerank): power iteration with dangling mass spread evenly, until the L1 step is under ``tol`` (the first iterate that meets it), normalised at the end.
 
-    Edges with their out-degree are written once, dealt by source; a written table every ``cut`` rounds bounds the lineage.
+    Edges with their out-degree are written once, dealt by source. Every round writes its narrow ranks and deletes those
+    before, so plans stay one join and one aggregate long; one look at the written table gives the step and the loose mass.
     """
     n = nodes.count()
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     links = materialize(edges.join(out, "src").repartition("src"), "links")
-    base = materialize(nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left"), "nodes")
-    now = base.select("id", "out", F.lit(1.0 / n).alias("x"))
-    for k in range(1, max_iter + 1):
+    now = materialize(nodes.select("id").join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "out", F.lit(1.0 / n).alias("x"), F.lit(0.0).alias("step")), "rank") if n else nodes.select("id", F.lit(0.0).alias("x"))
+    loose = F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("x"))), F.lit(0.0)).alias("loose")
+    mass = now.agg(loose).first()["loose"] if n else 0.0
+    for _ in range(max_iter if n else 0):
         came = links.join(now.select(F.col("id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("x") / F.col("out")).alias("got"))
-        loose = now.agg(F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("x"))), F.lit(0.0)).alias("loose"))
-        stepped = now.join(came, "id", "left").crossJoin(F.broadcast(loose)).select("id", "out", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n) + (1 - alpha) / n).alias("y"), "x")
-        if k % cut == 0 or k == max_iter:
-            stepped = materialize(stepped, "rank")
-            if tol is not None and stepped.agg(F.sum(F.abs(F.col("y") - F.col("x")))).first()[0] < tol:
-                now = stepped.select("id", "out", F.col("y").alias("x"))
-                break
-        now = stepped.select("id", "out", F.col("y").alias("x"))
+        y = alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(mass / n)) + (1 - alpha) / n
+        new = materialize(now.join(came, "id", "left").select("id", "out", y.alias("x"), F.abs(y - F.col("x")).alias("step")), "rank")
+        seen = new.agg(loose, F.sum("step").alias("step")).first()
+        forget(now)
+        now, mass = new, seen["loose"]
+        if tol is not None and seen["step"] < tol:
+            break
     return with_scalars(now, _all=F.sum("x")).select("id", (F.col("x") / F.col("_all")).alias("pagerank"))
 
 
+def cached_pagerank(nodes: DataFrame, edges: DataFrame, path: str, force: bool = False, **options) -> DataFrame:
+    """PageRank from the table at ``path`` if it covers 98 % of the ids, else computed and written there; ``force`` computes anyway. Ids that a good cache lacks have rank 0."""
+    spark = nodes.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not force and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        known = spark.read.parquet(path)
+        if {"id", "pagerank"} <= set(known.columns) and cache_coverage(known, nodes).first()["valid"]:
+            return nodes.select("id").join(known.select("id", "pagerank"), "id", "left").select("id", F.coalesce("pagerank", F.lit(0.0)).alias("pagerank"))
+    pagerank(nodes, edges, **options).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def cache_coverage(cached: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row (covered, total, coverage, valid): a cache is good if it has 98 % of the ids."""
     hit = nodes.select("id").join(cached.select("id").distinct().withColumn("_hit", F.lit(1)), "id", "left").agg(F.count("_hit").alias("covered"), F.count("*").alias("total"))
@@ -166,12 +181,29 @@ def hops(edges: DataFrame, most: int = 6, sources: DataFrame | None = None) -> D
     return found
 
 
+#: Sources whose pairs rest as a table at one time.
+SOURCES = 1_000_000
+
+
 def decay_scores(nodes: DataFrame, edges: DataFrame, weight: DataFrame, alpha: float = 0.7, beta: float = 0.7, most_up: int = 6, most_down: int = 6) -> DataFrame:
-    """(id, s_down, s_up): weights of all that depend on a node, and of all it depends on, decayed by distance; 0 without any."""
-    pairs = hops(edges, max(most_up, most_down))
-    up = pairs.filter(F.col("dist") <= most_up).join(weight.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.exp(-beta * F.col("dist"))).alias("s_up"))
-    down = pairs.filter(F.col("dist") <= most_down).join(weight.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.exp(-alpha * F.col("dist"))).alias("s_down"))
-    return nodes.select("id").join(down, "id", "left").join(up, "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("s_down", "s_up")])
+    """(id, s_down, s_up): weights of all that depend on a node, and of all it depends on, decayed by distance; 0 without any.
+
+    Pairs are found for ``SOURCES`` sources at a time, by hash, and only their sums stay.
+    """
+    weight = materialize(weight.select("id", "w"), "weight")
+    blocks = max(1, -(-edges.select("src").distinct().count() // SOURCES))
+    parts = None
+    for k in range(blocks):
+        some = None if blocks == 1 else nodes.select("id").filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k)
+        pairs = materialize(hops(edges, max(most_up, most_down), some), "pairs")
+        up = pairs.filter(F.col("dist") <= most_up).join(weight.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.exp(-beta * F.col("dist"))).alias("u"))
+        down = pairs.filter(F.col("dist") <= most_down).join(weight.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("w") * F.exp(-alpha * F.col("dist"))).alias("d"))
+        own = up.select("id", "u", F.lit(0.0).alias("d")).unionByName(down.select("id", F.lit(0.0).alias("u"), "d")).groupBy("id").agg(F.sum("u").alias("u"), F.sum("d").alias("d"))
+        done = materialize(own, "decay")
+        forget(pairs)
+        parts = done if parts is None else parts.unionByName(done)
+    sums = parts.groupBy("id").agg(F.sum("d").alias("s_down"), F.sum("u").alias("s_up"))
+    return nodes.select("id").join(sums, "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("s_down", "s_up")])
 
 
 def combined(d: Column, u: Column, method: str = "linear", lam: float = 0.8) -> Column:
@@ -187,7 +219,7 @@ def combined(d: Column, u: Column, method: str = "linear", lam: float = 0.8) ->
 
 def importance(scores: DataFrame, method: str = "linear", lam: float = 0.8) -> DataFrame:
     """(id, importance) of decay scores, each scaled to 0..1 over all nodes (0 if constant)."""
-    s = with_scalars(scores, _dl=F.min("s_down"), _dh=F.max("s_down"), _ul=F.min("s_up"), _uh=F.max("s_up"))
+    s = with_scalars(materialize(scores, "scores"), _dl=F.min("s_down"), _dh=F.max("s_down"), _ul=F.min("s_up"), _uh=F.max("s_up"))
 
     def scale(c: str, lo: str, hi: str) -> Column:
         return F.when(F.col(hi) <= F.col(lo), 0.0).otherwise((F.col(c) - F.col(lo)) / (F.col(hi) - F.col(lo)))
@@ -195,12 +227,14 @@ def importance(scores: DataFrame, method: str = "linear", lam: float = 0.8) -> D
     return s.select("id", combined(scale("s_down", "_dl", "_dh"), scale("s_up", "_ul", "_uh"), method, lam).alias("importance"))
 
 
-def layer_stats(pairs: DataFrame, weight: DataFrame, seed: int, most: int = 6) -> DataFrame:
-    """(direction, distance, n, sum_weight, avg_weight) for distances 1 to ``most`` around one node; empty layers are zeros."""
-    up = pairs.filter(F.col("src") == seed).select(F.lit("up").alias("direction"), F.col("dist").alias("distance"), F.col("dst").alias("id"))
-    down = pairs.filter(F.col("dst") == seed).select(F.lit("down").alias("direction"), F.col("dist").alias("distance"), F.col("src").alias("id"))
+def layer_stats(edges: DataFrame, weight: DataFrame, seed: int, most: int = 6) -> DataFrame:
+    """(direction, distance, n, sum_weight, avg_weight) for distances 1 to ``most`` around one node, from it alone in both directions; empty layers are zeros."""
+    spark = edges.sparkSession
+    start = spark.createDataFrame([(seed,)], "id bigint")
+    up = hops(edges, most, start).select(F.lit("up").alias("direction"), F.col("dist").alias("distance"), F.col("dst").alias("id"))
+    down = hops(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), most, start).select(F.lit("down").alias("direction"), F.col("dist").alias("distance"), F.col("dst").alias("id"))
     made = up.unionByName(down).join(weight, "id").groupBy("direction", "distance").agg(F.count("*").alias("n"), F.sum("w").alias("sum_weight"))
-    spine = pairs.sparkSession.createDataFrame([(d, k) for d in ("up", "down") for k in range(1, most + 1)], "direction string, distance int")
+    spine = spark.createDataFrame([(d, k) for d in ("up", "down") for k in range(1, most + 1)], "direction string, distance int")
     full = spine.join(made, ["direction", "distance"], "left")
     return full.select("direction", "distance", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("sum_weight", F.lit(0.0)).alias("sum_weight"), F.coalesce(F.col("sum_weight") / F.col("n"), F.lit(0.0)).alias("avg_weight"))
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.ranks import rank_table, with_scalars
+from ..session import materialize
+
 
 def spine(features: DataFrame, periods: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Every repo with every period (a small, stated list): (repo_key, period)."""
@@ -89,6 +92,22 @@ def scaled(df: DataFrame, fitted: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.2, seed: int = 42) -> DataFrame:
-    """``df`` with is_test: in each class, the share of keys whose hash is least; decided row by row, so nothing is gathered."""
-    place = F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("is_test", place < int(test * 1_000_000))
+    """``df`` with part: in each class, ``test`` of the keys are test, ``test`` of the rest validation, the others train.
+
+    Keys of a class are taken in order of a hash, so the shares are exact (rounded) and repeatable; ranks are distributed ones.
+    """
+    hashed = df.select(F.col(key), F.col(label), F.conv(F.substring(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint").alias("_h")).distinct()
+    hashed = materialize(hashed, "split")
+    classes = sorted(r[0] for r in hashed.select(label).distinct().filter(F.col(label).isNotNull()).collect())  # classes of a prediction: a few
+    made = None
+    for c in classes:
+        own = hashed.filter(F.col(label) == F.lit(c))
+        ranked = own.join(rank_table(own, "_h", "_r"), own["_h"] == F.col("_v")).select(key, label, "_r")
+        ranked = with_scalars(ranked, _n=F.count("*"))
+        first = F.round(F.col("_n") * test)
+        part = F.when(F.col("_r") <= first, "test").when(F.col("_r") <= first + F.round((F.col("_n") - first) * test), "validation").otherwise("train")
+        each = ranked.select(key, label, part.alias("part"))
+        made = each if made is None else made.unionByName(each)
+    if made is None:
+        return df.withColumn("part", F.lit(None).cast("string"))
+    return df.join(made, [key, label], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import events as ev
+from ..operators.events import flatten as flatten_all
 from ..operators import model
 from ..operators import timeseries as ts
 from ..session import materialize, shared_dir
@@ -69,15 +70,13 @@ def release_carry(spark, sf):
 
 
 def zero_fill(spark, sf):
-    f = materialize(_features(spark, sf), "features")
+    f = materialize(_features(spark, sf).select("repo_key", "period", *COLUMNS), "features")
     return ts.zero_fill(f, f, COLUMNS)
 
 
 def _filled(spark, sf):
-    # drop some weeks, so that there is something to fill
-    f = materialize(_features(spark, sf), "features")
-    sparse = f.filter(F.col("push_events") % 3 != 0)
-    return ts.forward_fill(sparse, f, COLUMNS)
+    f = materialize(_features(spark, sf).select("repo_key", "period", *COLUMNS), "features")
+    return ts.forward_fill(f, f, COLUMNS)
 
 
 def month_spine_ffill(spark, sf):
@@ -103,7 +102,7 @@ def sequence_features(spark, sf):
 
 
 def _label(spark, sf):
-    f = materialize(_features(spark, sf), "features")
+    f = materialize(_features(spark, sf).select("repo_key", "period", *COLUMNS), "features")
     return ts.future_activity(f, ts.last_periods(f, 1), f, (F.col("push_events") > 1) & (F.col("prs_merged") > 1))
 
 
@@ -134,9 +133,10 @@ def release_days(spark, sf):
 
 
 def model_score(spark, sf):
+    """Fitted on the train part alone; every repository is scored, with the part it belongs to."""
     seq = ts.sequences(_filled(spark, sf), COLUMNS, 6).join(_label(spark, sf), "repo_key")
-    seq = materialize(seq, "sequences")
-    return model.fit_predict(seq, seq, "logistic").select("repo_key", "label", "activity_probability")
+    seq = materialize(ts.stratified_split(seq, "repo_key", "label"), "sequences")
+    return model.fit_predict(seq.filter("part = 'train'"), seq, "logistic").select("repo_key", "label", "part", "activity_probability")
 
 
 def stream_available_now(spark, sf):
@@ -147,7 +147,29 @@ def stream_available_now(spark, sf):
     return spark.read.schema(schemas.FLAT_EVENT + ", year int, month int").parquet(f"{where}/out").groupBy("year", "month", "event_type").agg(F.count("*").alias("n"))
 
 
+def _folder(spark, sf):
+    """Event records as JSON files of a few thousand lines, to stream from."""
+    where = f"{shared_dir(spark)}/brindle/stream-{uuid.uuid4().hex}"
+    t.json_events(spark, sf).repartition(4).write.text(f"{where}/in")
+    return where
+
+
+def stream_monthly_counts(spark, sf):
+    where = _folder(spark, sf)
+    streaming.run_counts(spark, f"{where}/in", f"{where}/out", f"{where}/state").awaitTermination()
+    return spark.read.parquet(f"{where}/out")
+
+
+def stream_last_release(spark, sf):
+    """What carries between months, as state; merged pull requests stand for releases."""
+    where = _folder(spark, sf)
+    releases = flatten_all(streaming.read(spark, f"{where}/in")).filter("event_type = 'PullRequestEvent'").select("repo_key", F.col("created_at").alias("released_at"))
+    streaming.run_carry(streaming.last_release(releases), f"{where}/out", f"{where}/state").awaitTermination()
+    return spark.read.parquet(f"{where}/out").groupBy("repo_key").agg(F.unix_seconds(F.max("last_release_at")).alias("last_release_at"))
+
+
 QUERIES = {
+    "stream_monthly_counts": stream_monthly_counts, "stream_last_release": stream_last_release,
     "event_flatten": event_flatten, "event_filter_repos": event_filter_repos, "repo_period_features": repo_period_features, "active_contributors": active_contributors, "event_type_map": event_type_map,
     "event_action_map": event_action_map, "duration_means": duration_means, "release_carry": release_carry, "release_days": release_days, "zero_fill": zero_fill, "month_spine_ffill": month_spine_ffill,
     "lag_features": lag_features, "rolling_features": rolling_features, "latest_features": latest_features, "sequence_features": sequence_features, "activity_label": activity_label,
@@ -163,13 +185,20 @@ _F = f"""WITH {t.FLAT}, features AS (SELECT repo_key, CAST(period AS DATE) AS pe
   count(DISTINCT actor) AS active_contributors_count, count(DISTINCT actor) FILTER (kind IN ('click', 'purchase')) AS code_contributors_count, count(DISTINCT actor) FILTER (k % 2 = 0) AS maintainer_contributors_count,
   CASE WHEN count(*) FILTER (kind = 'purchase') > 0 THEN 1.5 END AS pr_merge_days_mean FROM flat GROUP BY 1, 2),
 weeks AS (SELECT DISTINCT period FROM features)"""
-_FILLED = """sparse AS (SELECT * FROM features WHERE push_events % 3 <> 0), grid AS (SELECT repo_key, period FROM (SELECT DISTINCT repo_key FROM sparse) CROSS JOIN weeks),
+_FILLED = """sparse AS (SELECT * FROM features), grid AS (SELECT repo_key, period FROM (SELECT DISTINCT repo_key FROM sparse) CROSS JOIN weeks),
 filled AS (SELECT g.repo_key, g.period, coalesce(last_value(s.push_events IGNORE NULLS) OVER w, 0) AS push_events, coalesce(last_value(s.prs_merged IGNORE NULLS) OVER w, 0) AS prs_merged,
   coalesce(last_value(s.active_contributors_count IGNORE NULLS) OVER w, 0) AS active_contributors_count FROM grid g LEFT JOIN sparse s USING (repo_key, period) WINDOW w AS (PARTITION BY g.repo_key ORDER BY g.period))"""
 _LABEL = "labels_ AS (SELECT repo_key, CAST(coalesce(max(CASE WHEN push_events > 1 AND prs_merged > 1 THEN 1 ELSE 0 END) FILTER (period = (SELECT max(period) FROM weeks)), 0) AS INT) AS label FROM features GROUP BY 1)"
 _SCALED = ", ".join(f"round(({c} - min_{c}) / CASE WHEN max_{c} = min_{c} THEN 1 ELSE max_{c} - min_{c} END, 9) AS {c}" for c in COLUMNS)
 
+_SPLIT = """h AS (SELECT repo_key, label, CAST('0x' || substr(md5(repo_key || ':42'), 1, 15) AS BIGINT) AS h FROM labels_),
+n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY h) AS r, round(count(*) OVER (PARTITION BY label) * 0.2) AS t, count(*) OVER (PARTITION BY label) AS n FROM h)"""
+
 ORACLE = {
+    "hash_split": f"{_F}, {_LABEL}, {_SPLIT} SELECT repo_key, label, CASE WHEN r <= t THEN 'test' WHEN r <= t + round((n - t) * 0.2) THEN 'validation' ELSE 'train' END AS part FROM n",
+    "stream_available_now": f"WITH {t.FLAT} SELECT CAST(year(happened) AS INT) AS year, CAST(month(happened) AS INT) AS month, {_KIND} AS event_type, count(*) AS n FROM flat GROUP BY 1, 2, 3",
+    "stream_monthly_counts": f"WITH {t.FLAT} SELECT repo_key, CAST(date_trunc('month', happened) AS DATE) AS month, count(*) AS n FROM flat GROUP BY 1, 2",
+    "stream_last_release": f"WITH {t.FLAT} SELECT repo_key, CAST(max(epoch(happened)) FILTER (kind = 'purchase') AS BIGINT) AS last_release_at FROM flat WHERE kind = 'purchase' GROUP BY 1",
     "event_flatten": f"""WITH {t.FLAT} SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(epoch(happened) AS BIGINT) AS created_at, repo_key, actor AS actor_login, {_KIND} AS event_type, {_ACTION} AS action, CASE WHEN k % 2 = 0 THEN 'MEMBER' ELSE 'NONE' END AS author_association,
 CASE WHEN kind = 'click' THEN coalesce(nullif(size, 0), 0) ELSE 0 END AS push_size, CASE WHEN kind = 'signup' THEN nullif(event_id, 0) END AS issue_number, CASE WHEN kind = 'purchase' THEN nullif(event_id, 0) END AS pull_number, kind = 'purchase' AS pull_merged,
 CAST(kind = 'purchase' AS INT) AS title_chars, CASE WHEN kind = 'signup' THEN 4 ELSE 0 END AS body_chars FROM flat""",

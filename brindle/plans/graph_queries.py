@@ -44,7 +44,8 @@ def unweighted_nodes(spark, sf):
 
 def graph_summary(spark, sf):
     e = graph.materialize(edges(spark, sf), "graph")
-    row = graph.summary(t.crates(spark, sf), e, graph.weak_components(t.crates(spark, sf), e))
+    nodes = t.crates(spark, sf)
+    row = graph.summary(nodes, e, graph.weak_components(nodes, e), graph.strong_components(nodes, e))
     return row.withColumn("avg_degree", F.round("avg_degree", 6))
 
 
@@ -74,7 +75,7 @@ def hop_pairs(spark, sf):
 
 def hop_layer_stats(spark, sf):
     e = graph.materialize(edges(spark, sf), "graph")
-    return graph.layer_stats(graph.hops(e), weight(spark, sf), 7).withColumns({"sum_weight": F.round("sum_weight", 6), "avg_weight": F.round("avg_weight", 6)})
+    return graph.layer_stats(e, weight(spark, sf), 7).withColumns({"sum_weight": F.round("sum_weight", 6), "avg_weight": F.round("avg_weight", 6)})
 
 
 def _decay(spark, sf):
@@ -90,7 +91,8 @@ def _importance(method):
 
 
 def corr_report(spark, sf):
-    scores = graph.materialize(graph.importance(_decay(spark, sf)).join(degree_stats(spark, sf), "id"), "scores")
+    # sums of floats differ in their last digits by order of summation, which would make or break ties of ranks
+    scores = graph.materialize(graph.importance(_decay(spark, sf)).withColumn("importance", F.round("importance", 9)).join(degree_stats(spark, sf), "id"), "scores")
     return correlations(scores, "importance", "in_degree").select("n", F.round("pearson_r", 5).alias("pearson_r"), F.round("spearman_r", 5).alias("spearman_r"))
 
 
@@ -125,6 +127,8 @@ _COMBINED = {"linear": "0.8 * d + 0.2 * u", "geo": "sqrt(d * u)", "harmonic": "C
 _WEAK = """both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
 walk(id, c) AS (SELECT c_custkey, c_custkey FROM customer UNION SELECT b, c FROM walk JOIN both_ways ON a = id WHERE c < b),
 weak AS (SELECT id, min(c) AS component FROM walk GROUP BY id)"""
+_STRONG = """r(a, b) AS (SELECT src, dst FROM edges UNION SELECT a, dst FROM r JOIN edges ON b = src),
+strong AS (SELECT c_custkey AS id, least(c_custkey, coalesce((SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = c_custkey), c_custkey)) AS component FROM customer)"""
 _DEGREES = """degrees AS (SELECT c_custkey AS id, (SELECT count(*) FROM edges WHERE dst = c_custkey) AS in_degree, (SELECT count(*) FROM edges WHERE src = c_custkey) AS out_degree FROM customer)"""
 
 ORACLE = {
@@ -135,12 +139,11 @@ ORACLE = {
     "recent_downloads": f"WITH {t.DOWNLOADS} SELECT * FROM recent",
     "node_weights": f"WITH {t.DOWNLOADS} SELECT id, round(w, 6) AS w FROM weights",
     "unweighted_nodes": "SELECT c_custkey AS id, CAST(1 AS DOUBLE) AS w FROM customer",
-    "graph_summary": f"""WITH RECURSIVE {t.EDGES}, {_WEAK}, sizes AS (SELECT component, count(*) AS size FROM weak GROUP BY 1)
+    "graph_summary": f"""WITH RECURSIVE {t.EDGES}, {_WEAK}, {_STRONG}, sizes AS (SELECT component, count(*) AS size FROM weak GROUP BY 1)
 SELECT (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM edges) AS edges, round((SELECT count(*) FROM edges) / (SELECT count(*) FROM customer), 6) AS avg_degree,
-  (SELECT count(*) FROM sizes) AS wcc_count, component AS biggest_wcc, size AS biggest_wcc_size FROM sizes ORDER BY size DESC, component LIMIT 1""",
+  (SELECT count(*) FROM sizes) AS wcc_count, (SELECT count(DISTINCT component) FROM strong) AS scc_count, component AS biggest_wcc, size AS biggest_wcc_size FROM sizes ORDER BY size DESC, component LIMIT 1""",
     "wcc_labels": f"WITH RECURSIVE {t.EDGES}, {_WEAK} SELECT id, component FROM weak",
-    "scc_labels": f"""WITH RECURSIVE {t.EDGES}, r(a, b) AS (SELECT src, dst FROM edges UNION SELECT a, dst FROM r JOIN edges ON b = src)
-SELECT c_custkey AS id, least(c_custkey, coalesce((SELECT min(x.b) FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a = c_custkey), c_custkey)) AS component FROM customer""",
+    "scc_labels": f"WITH RECURSIVE {t.EDGES}, {_STRONG} SELECT id, component FROM strong",
     "pagerank_20": f"""WITH RECURSIVE {t.EDGES}, n AS (SELECT count(*) AS n FROM customer), outs AS (SELECT src, count(*) AS o FROM edges GROUP BY 1),
 pr(k, id, x) AS (SELECT 0, c_custkey, 1.0::DOUBLE / n.n FROM customer, n
   UNION ALL SELECT k + 1, c_custkey, 0.85 * (coalesce(got, 0) + loose / n.n) + 0.15 / n.n FROM
@@ -157,7 +160,7 @@ SELECT direction, CAST(distance AS INT) AS distance, count(w) AS n, round(coales
 FROM (VALUES ('up'), ('down')) a(direction) CROSS JOIN range(1, 7) b(distance) LEFT JOIN (SELECT direction AS nd, dist, w FROM near JOIN weights USING (id)) ON nd = direction AND dist = distance GROUP BY 1, 2""",
     "decay_scores": f"{_ALL} SELECT id, round(s_down, 6) AS s_down, round(s_up, 6) AS s_up FROM scores",
     **{f"importance_{m}": f"{_ALL}, {_NORM} SELECT id, round({x}, 6) AS importance FROM norm" for m, x in _COMBINED.items()},
-    "corr_report": f"""{_ALL}, {_NORM}, {_DEGREES}, both_ AS (SELECT 0.8 * d + 0.2 * u AS x, CAST(in_degree AS DOUBLE) AS y FROM norm JOIN degrees USING (id)),
+    "corr_report": f"""{_ALL}, {_NORM}, {_DEGREES}, both_ AS (SELECT round(0.8 * d + 0.2 * u, 9) AS x, CAST(in_degree AS DOUBLE) AS y FROM norm JOIN degrees USING (id)),
 r AS (SELECT x, y, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM both_)
 SELECT count(*) AS n, round(corr(x, y), 5) AS pearson_r, round(corr(rx, ry), 5) AS spearman_r FROM r""",
     "name_lookup": "SELECT c_custkey AS id, c_name AS name FROM customer WHERE lower(c_name) = 'customer#000000042'",

@@ -47,6 +47,22 @@ def deprecation_snippet(spark, sf):
     return docs.select("doc_id", c.snippet(F.col("text"), r"(?i)\bof the\b", 1).alias("snippet")).filter("snippet IS NOT NULL").select("doc_id", F.length("snippet").alias("n"), F.md5("snippet").alias("digest"))
 
 
+#: A sentence for each pattern of deprecation, and some that match none.
+SAID = [
+    "This is Deprecated.", "It raises DeprecationWarning!", "It is no longer maintained.", "Left unmaintained.", "It has been deprecated.", "It was replaced by x.", "It is superseded with y.", "We moved to z.",
+    "We recommend to use w.", "They suggested using v.", "In maintenance mode.", "The repository is archived.", "It lies abandoned.", "There is no active development.", "Please use alternative u.",
+    "You may consider switching to t.", "It will not receive updates.", "A deprecat of sorts.", "It is maintained.", "Archives are here.",
+]
+
+
+def deprecation_phrases(spark, sf):
+    """The fixed patterns over parts' descriptions: a sentence in ten says one of :data:`SAID`."""
+    p = t.read(spark, sf, "part")
+    said = F.get(F.array(*[F.lit(s) for s in SAID]), (F.col("p_partkey") % len(SAID)).cast("int"))
+    text = F.concat(F.lit("  "), F.repeat(F.concat("p_name", F.lit(". ")), 8), said, F.lit(" "), F.repeat(F.concat("p_brand", F.lit("?\n")), 9))
+    return p.select("p_partkey", c.snippet(text).alias("snippet")).filter("snippet IS NOT NULL")
+
+
 def row_to_text(spark, sf):
     p = t.read(spark, sf, "part")
     fields = {"functional_role": F.col("p_type"), "capability_set": F.col("p_brand"), "api_intent": F.when(F.col("p_size") % 3 == 0, "ERROR").when(F.col("p_size") % 3 == 1, "").otherwise(F.concat(F.lit(" "), F.col("p_size"), F.lit(" ")))}
@@ -61,12 +77,13 @@ def keyword_listagg(spark, sf):
 def json_fallback(spark, sf):
     e = t.read(spark, sf, "events")
     raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(F.col("event_id") % 3 == 1, F.lit("no json")).otherwise(F.col("props"))
-    return e.select("event_id", c.parsed_answer(raw, "k string", ["k"])["k"].alias("k"))
+    fields = ["k", "functional_role"]
+    return e.select("event_id", c.parsed_answer(raw, "k string, functional_role string", fields).alias("p")).select("event_id", "p.*")
 
 
 def prompt_text(spark, sf):
     p = t.read(spark, sf, "part")
-    return p.select("p_partkey", c.prompt(F.col("p_name"), F.col("p_type"), F.lit(None).cast("string"), F.repeat("p_brand", 300)).alias("prompt")).select("p_partkey", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
+    return p.select("p_partkey", c.prompt(F.col("p_name"), description=F.concat(F.lit(" "), F.col("p_type")), keywords=F.when(F.col("p_size") % 2 == 0, F.repeat("p_brand", 40)), documentation=F.repeat("p_brand", 40), readme=F.repeat("p_brand", 300)).alias("prompt")).select("p_partkey", F.length("prompt").alias("n"), F.md5("prompt").alias("digest"))
 
 
 def clean_lines(spark, sf):
@@ -114,7 +131,7 @@ def month_calendar(spark, sf):
 
 def available_months(spark, sf):
     flat = t.read(spark, sf, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"))
-    return readers.available_months(flat.filter("month % 2 = 1"))
+    return readers.available_months(flat)
 
 
 def top_n_sample(spark, sf):
@@ -143,13 +160,13 @@ def score_export(spark, sf):
 
     where = f"{shared_dir(spark)}/brindle/scores-{uuid.uuid4().hex}"
     rows = t.read(spark, sf, "customer").select(F.col("c_name").alias("crate_name"), F.col("c_acctbal").alias("score")).orderBy("crate_name")
-    writers.scores(rows, where, 101)
+    writers.scores(rows, where)
     return readers.scores(spark, where)
 
 
 QUERIES = {
     "repo_normalize": repo_normalize, "legacy_repo_normalize": legacy_repo_normalize, "cvss_parse": cvss_parse, "explode_packages": explode_packages, "deprecation_filter": deprecation_filter,
-    "deprecation_snippet": deprecation_snippet, "row_to_text": row_to_text, "keyword_listagg": keyword_listagg, "json_fallback": json_fallback, "prompt_text": prompt_text, "clean_lines": clean_lines,
+    "deprecation_snippet": deprecation_snippet, "deprecation_phrases": deprecation_phrases, "row_to_text": row_to_text, "keyword_listagg": keyword_listagg, "json_fallback": json_fallback, "prompt_text": prompt_text, "clean_lines": clean_lines,
     "name_labels": name_labels, "set_ops": set_ops, "resume_anti": resume_anti, "manifest_upsert": manifest_upsert, "incremental_pending": incremental_pending, "missing_columns": missing_columns,
     "month_calendar": month_calendar, "available_months": available_months, "top_n_sample": top_n_sample, "parquet_partitions": parquet_partitions, "csv_round_trip": csv_round_trip, "score_export": score_export,
 }
@@ -161,13 +178,15 @@ ORACLE = {
 SELECT id, split_part(kv, ':', 1) AS part, split_part(kv, ':', 2) AS value FROM p WHERE split_part(kv, ':', 1) IN ('AV', 'AC', 'PR', 'UI', 'S', 'C', 'I', 'A')""",
     "explode_packages": "SELECT * FROM (VALUES (1, 'a'), (1, 'b'), (3, 'z')) v(id, package)",
     "deprecation_filter": r"SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(text, '(?i)\bof the\b|\bund die\b') GROUP BY 1",
-    "deprecation_snippet": r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(replace(text, chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE lang = 'en'),
-h AS (SELECT doc_id, p, list_position(list_transform(p, lambda x: regexp_matches(x, '(?i)\bof the\b')), true) AS k FROM s), c AS (SELECT doc_id, array_to_string(p[greatest(1, k - 1):k + 1], ' ') AS snippet FROM h WHERE k > 0)
+    "deprecation_snippet": r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' '), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+h AS (SELECT doc_id, p, list_position(list_transform(p, lambda x: regexp_matches(x, '(?i)\bof the\b')), true) AS k FROM s), c AS (SELECT doc_id, regexp_replace(array_to_string(p[greatest(1, k - 1):k + 1], ' '), '^\s+|\s+$', '', 'g') AS snippet FROM h WHERE k > 0)
 SELECT doc_id, CAST(length(snippet) AS INT) AS n, md5(snippet) AS digest FROM c""",
+    "deprecation_phrases": f"""WITH said(k, s) AS (VALUES {", ".join(f"({i}, '{s}')" for i, s in enumerate(SAID))}), pats(x) AS (VALUES {", ".join("('(?i)" + x + "')" for x in c.DEPRECATION)})
+SELECT p_partkey, repeat(p_name || '. ', 5) || s || ' ' || rtrim(repeat(p_brand || '? ', 5)) AS snippet FROM part JOIN said ON k = p_partkey % {len(SAID)} WHERE EXISTS (SELECT 1 FROM pats WHERE regexp_matches(s, x))""",
     "row_to_text": "SELECT p_partkey, 'Crate: ' || p_name || '. Role: ' || p_type || '. Capabilities: ' || p_brand || CASE WHEN p_size % 3 = 2 THEN '. API: ' || p_size ELSE '' END AS text FROM part",
     "keyword_listagg": "SELECT p_brand, md5(string_agg(p_name, ', ' ORDER BY p_partkey)) AS digest FROM part GROUP BY 1",
-    "json_fallback": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'PARSE_ERROR' ELSE json_extract_string(props, '$.k') END AS k FROM events",
-    "prompt_text": "WITH p AS (SELECT p_partkey, 'Crate: ' || p_name || chr(10) || 'Description: ' || substr(p_type, 1, 600) || chr(10) || 'Readme: ' || substr(repeat(p_brand, 300), 1, 1200) AS prompt FROM part) SELECT p_partkey, CAST(length(prompt) AS INT) AS n, md5(prompt) AS digest FROM p",
+    "json_fallback": "SELECT event_id, CASE WHEN event_id % 3 = 1 THEN 'PARSE_ERROR' ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN event_id % 3 = 1 THEN 'PARSE_ERROR: no json' ELSE '' END AS functional_role FROM events",
+    "prompt_text": "WITH p AS (SELECT p_partkey, 'Crate name: ' || p_name || chr(10) || 'Description: ' || p_type || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Keywords: ' || repeat(p_brand, 40) ELSE '' END || chr(10) || 'Documentation URL: ' || substr(repeat(p_brand, 40), 1, 200) || chr(10) || 'README (excerpt): ' || substr(repeat(p_brand, 300), 1, 1200) || chr(10) || chr(10) || 'Return only the JSON object as specified. No extra text.' AS prompt FROM part) SELECT p_partkey, CAST(length(prompt) AS INT) AS n, md5(prompt) AS digest FROM p",
     "clean_lines": r"SELECT doc_id, md5(regexp_replace(text, '(?m)[ \t]+$', '', 'g')) AS digest FROM documents",
     "name_labels": "SELECT p_partkey, CASE WHEN length(p_name) > 10 THEN substr(p_name, 1, 10) || '…' ELSE p_name END AS label FROM part",
     "set_ops": "SELECT 'union' AS op, k FROM (SELECT c_custkey AS k FROM customer UNION SELECT o_custkey FROM orders) UNION ALL SELECT 'both', k FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'only', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)",
@@ -176,9 +195,9 @@ SELECT doc_id, CAST(length(snippet) AS INT) AS n, md5(snippet) AS digest FROM c"
     "incremental_pending": "SELECT o_orderkey AS source_path FROM orders WHERE NOT (o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0)",
     "missing_columns": "SELECT count(*) AS rows, 'r_comment' AS missing FROM region",
     "month_calendar": "SELECT CAST(m AS DATE) AS month, CAST(day(last_day(m)) AS INT) AS days, CAST(day(last_day(m)) * 24 AS INT) AS files, CAST(epoch(last_day(m) + INTERVAL 1 DAY) AS BIGINT) - 1 AS ends FROM range(TIMESTAMP '2023-11-01', TIMESTAMP '2024-03-02', INTERVAL 1 MONTH) r(m)",
-    "available_months": "WITH b AS (SELECT date_trunc('month', min(o_orderdate)) AS a, date_trunc('month', max(o_orderdate)) AS z FROM orders WHERE month(o_orderdate) % 2 = 1) SELECT CAST(year(m) AS INT) AS year, CAST(month(m) AS INT) AS month FROM b, range(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 MONTH) r(m)",
+    "available_months": "WITH b AS (SELECT date_trunc('month', min(o_orderdate)) AS a, date_trunc('month', max(o_orderdate)) AS z FROM orders) SELECT CAST(year(m) AS INT) AS year, CAST(month(m) AS INT) AS month FROM b, range(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 MONTH) r(m)",
     "top_n_sample": "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10",
     "parquet_partitions": "SELECT CASE event_type WHEN 'view' THEN 'WatchEvent' WHEN 'click' THEN 'PushEvent' WHEN 'signup' THEN 'IssuesEvent' WHEN 'error' THEN 'IssueCommentEvent' ELSE 'PullRequestEvent' END AS event_type, count(*) AS n FROM events WHERE year(ts) = 2024 AND month(ts) = 1 GROUP BY 1",
     "csv_round_trip": "SELECT c_custkey AS id, c_name AS name FROM customer",
-    "score_export": "SELECT c_name AS crate_name, c_acctbal AS score FROM customer ORDER BY c_name LIMIT 100",
+    "score_export": "SELECT c_name AS crate_name, c_acctbal AS score FROM customer ORDER BY c_name LIMIT 9999",
 }
