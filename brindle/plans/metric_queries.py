@@ -87,7 +87,8 @@ def dimension_correlations(spark, sf):
 
 
 def correlation_p_values(spark, sf):
-    return stats.correlation_report(materialize(t.metrics(spark, sf), "metrics"), [("importance", "replacement_metric"), ("importance", "activity_probability")])
+    report = stats.correlation_report(materialize(t.metrics(spark, sf), "metrics"), [("importance", "replacement_metric"), ("importance", "activity_probability")])
+    return report.select("pair", "n", *[F.round(c, 6).alias(c) for c in ("pearson_r", "pearson_p", "spearman_r", "spearman_p")])
 
 
 def linear_fit(spark, sf):
@@ -178,7 +179,18 @@ def _minmax_sql(constant: str) -> str:
     return f"{_M} SELECT crate_name, round((importance - min(importance) OVER ()) / (max(importance) OVER () - min(importance) OVER ()), 9) AS scaled, CAST({constant} AS DOUBLE) AS constant FROM metrics"
 
 
+def _p(r: str) -> str:
+    """SQL of the two-sided p-value of a correlation ``r`` of n pairs: the finite series of Student's distribution, whose angle is asin(r)."""
+    even = f"abs({r}) * list_sum(list_transform(range(CAST((n - 2) // 2 AS BIGINT)), lambda k: exp(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln((2.0 * j - 1) / (2 * j)))), 0) + k * ln(1 - {r} * {r}))))"
+    odd = f"2 / pi() * (asin(abs({r})) + abs({r}) * sqrt(1 - {r} * {r}) * list_sum(list_transform(range(CAST((n - 3) // 2 AS BIGINT)), lambda k: exp(coalesce(list_sum(list_transform(range(1, k + 1), lambda j: ln(2.0 * j / (2 * j + 1)))), 0) + k * ln(1 - {r} * {r})))))"
+    return f"round(1 - CASE WHEN n % 2 = 0 THEN {even} ELSE {odd} END, 6)"
+
+
 ORACLE = {
+    "correlation_p_values": f"""{_M}, two AS (SELECT 'importance vs replacement_metric' AS pair, importance AS x, replacement_metric AS y FROM metrics UNION ALL SELECT 'importance vs activity_probability', importance, activity_probability FROM metrics),
+k AS (SELECT *, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2 AS ry FROM two),
+c AS (SELECT pair, count(*) AS n, corr(x, y) AS p, corr(rx, ry) AS s FROM k GROUP BY 1)
+SELECT pair, n, round(p, 6) AS pearson_r, {_p("p")} AS pearson_p, round(s, 6) AS spearman_r, {_p("s")} AS spearman_p FROM c""",
     "metric_merge": f"{_M} SELECT crate_name, importance, replacement_metric, activity_probability FROM metrics",
     "metric_ranks": f"{_S} SELECT crate_name, rank_importance, rank_risk, rank_irreplaceability FROM ranked",
     **{f"combine_{m}": f"{_S} SELECT {_COLUMNS}, round({c}_rank_score, 6) AS combined_score, round({c}_rank_raw, 6) AS combined_score_raw, '{n}' AS combined_method FROM scored" for m, c, n in (("geo", "geo", "geometric_mean_rank"), ("avg", "avg", "average_rank"), ("both", "geo", "both_geo_default"))},

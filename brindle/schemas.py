@@ -31,3 +31,15 @@ MONTH_FEATURES = (
     "push_events bigint, issues_opened bigint, issues_closed bigint, prs_opened bigint, prs_closed bigint, prs_merged bigint, issue_comments bigint, pr_review_comments bigint, "
     "releases_published bigint, last_release_at string, watch_started bigint, active_contributors array<string>"
 )
+
+MONTH_DOCUMENT = (
+    "push_events bigint, push_commits bigint, push_distinct_commits bigint, issues_opened bigint, issues_closed bigint, issues_reopened bigint, issue_comments bigint, issue_comments_created bigint, "
+    "issue_only_comments bigint, pr_conversation_comments bigint, maintainer_issue_comments bigint, external_issue_comments bigint, unknown_role_issue_comments bigint, issue_resolution_count bigint, "
+    "issue_resolution_days_mean double, prs_opened bigint, prs_closed bigint, prs_merged bigint, prs_reopened bigint, pr_reviews_submitted bigint, pr_reviews_approved bigint, "
+    "pr_reviews_changes_requested bigint, pr_review_comments bigint, pr_review_comments_created bigint, maintainer_pr_reviews bigint, external_pr_reviews bigint, maintainer_pr_review_comments bigint, "
+    "external_pr_review_comments bigint, pr_close_days_mean double, pr_merge_days_mean double, releases_published bigint, last_release_at string, release_observed boolean, days_since_last_release int, "
+    "watch_started bigint, forks bigint, branches_created bigint, branches_deleted bigint, tags_created bigint, tags_deleted bigint, active_days bigint, contributor_days bigint, "
+    "active_contributors_count bigint, code_contributors_count bigint, maintainer_contributors_count bigint, external_contributors_count bigint, unknown_role_contributors_count bigint, "
+    "active_contributors array<string>, maintainer_contributors array<string>, external_contributors array<string>, first_event_at string, last_event_at string, total_events bigint, "
+    "event_type_counts map<string, bigint>, event_action_counts map<string, map<string, bigint>>"
+)

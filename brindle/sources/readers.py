@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.columns import normalize_repo, present
+from ..operators.events import last_releases
 
 
 def csv(spark: SparkSession, path: str, schema: str, *columns: str) -> DataFrame:
@@ -158,11 +159,68 @@ def scores(spark: SparkSession, path: str) -> DataFrame:
     return csv(spark, path, schemas.SCORES, "crate_name", "score")
 
 
+def metric_files(spark: SparkSession, importance: str, replacement: str, activity: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three metric CSVs with their required columns, numbers as doubles."""
+    wanted = {"importance": importance, "replacement_metric": replacement, "activity_probability": activity}
+    return tuple(csv(spark, path, f"crate_name string, {c} string", "crate_name", c).withColumn(c, F.col(c).try_cast("double")) for c, path in wanted.items())
+
+
+def functions(spark: SparkSession, path: str, crates: DataFrame) -> DataFrame:
+    """Functional descriptions with the name of their crate (id, name); the first row of a name, without regard to case, stays."""
+    rows = csv(spark, path, schemas.FUNCTIONS).withColumn("_row", F.monotonically_increasing_id())
+    named = rows.join(crates.select(F.col("id").alias("crate_id"), F.trim("name").alias("name")), "crate_id").filter("name <> ''")
+    fields = [f.split()[0] for f in schemas.FUNCTIONS.split(", ")]
+    first = named.groupBy(F.lower("name").alias("_k")).agg(F.min_by(F.struct("name", *fields), "_row").alias("r"))
+    return first.select("r.*")
+
+
+def accepted_replacements(answers: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows of ``answers`` (..., replacement) whose trimmed replacement is neither empty nor "none" and is a name of ``known`` (name), without regard to case."""
+    said = F.trim("replacement")
+    good = answers.withColumn("replacement", said).filter(~F.lower("replacement").isin("none", ""))
+    return good.join(known.select(F.lower("name").alias("_k")).distinct(), F.lower("replacement") == F.col("_k"), "left_semi")
+
+
+def published_releases(spark: SparkSession, path: str, before: Column) -> DataFrame:
+    """(repo_key, last_release_at) from flat events by month, of partitions ``before`` (a filter on year and month, which prunes folders; the event filter reaches the scan)."""
+    return last_releases(spark.read.parquet(path), before)
+
+
+def month_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(repo_key, period, the month's keys) from the JSON lines of :func:`writers.month_documents`."""
+    rows = spark.read.schema("repo_key string, document string, month string").json(path)
+    made = rows.select("repo_key", F.to_date("month", "yyyy_MM").alias("period"), F.from_json("document", schemas.MONTH_DOCUMENT).alias("d"))
+    return made.select("repo_key", "period", "d.*")
+
+
+def cached_embeddings(spark: SparkSession, path: str) -> DataFrame:
+    """(name, crate_id, embedding) of :func:`writers.embedding_cache`."""
+    return spark.read.schema("name string, crate_id string, embedding array<float>").parquet(path)
+
+
+#: A file of an hour of events, and a month.
+HOUR_FILE = r"(\d{4})-(\d{2})-(\d{2})-(\d{1,2})\.json\.gz$"
+
+
+def month_files(files: DataFrame, year: int, month: int) -> DataFrame:
+    """``files`` (source_path) that are hourly event files of a month, with their day and hour, in order."""
+    part = lambda k: F.regexp_extract("source_path", HOUR_FILE, k).try_cast("int")
+    dated = files.withColumns({"_y": part(1), "_m": part(2), "day": part(3), "hour": part(4)})
+    valid = (F.col("_y") == year) & (F.col("_m") == month) & F.col("day").between(1, 31) & F.col("hour").between(0, 23)
+    return dated.filter(valid).drop("_y", "_m").orderBy("day", "hour")
+
+
 def sample(df: DataFrame, n: int = 10) -> DataFrame:
     """The first n rows, as a fixture."""
     return df.limit(n)
 
 
+def project_list(crates: DataFrame) -> DataFrame:
+    """Distinct repositories (repo_key) of crates (repository), sorted without regard to case: the list that events are collected for."""
+    keys = crates.select(normalize_repo(F.col("repository")).alias("repo_key")).filter("repo_key IS NOT NULL").distinct()
+    return keys.orderBy(F.lower("repo_key"))
+
+
 def npz_embeddings(spark: SparkSession, path: str) -> DataFrame:
     """(name, crate_id, embedding) from a compressed array file with names, crate_ids and embeddings; read once, then keep Parquet."""
 
@@ -170,7 +228,10 @@ def npz_embeddings(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column("content").to_pylist():
                 with np.load(io.BytesIO(raw), allow_pickle=False) as z:
-                    vectors = z["embeddings"].astype(np.float32)
-                    yield pa.RecordBatch.from_arrays([pa.array(z["names"].astype(str).tolist()), pa.array(z["crate_ids"].astype(str).tolist()), pa.array(vectors.tolist(), pa.list_(pa.float32()))], ["name", "crate_id", "embedding"])
+                    vectors, names, ids = z["embeddings"].astype(np.float32), z["names"].astype(str), z["crate_ids"].astype(str)
+                    for a in range(0, len(names), 1000):
+                        part = vectors[a : a + 1000]
+                        ends = pa.array(np.arange(0, part.size + 1, max(part.shape[1], 1), dtype=np.int32)[: len(part) + 1])
+                        yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 1000].tolist()), pa.array(ids[a : a + 1000].tolist()), pa.ListArray.from_arrays(ends, pa.array(part.ravel()))], ["name", "crate_id", "embedding"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "name string, crate_id string, embedding array<float>")
