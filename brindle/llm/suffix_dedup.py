@@ -7,7 +7,7 @@ lie in phrases with equal triggers. Rows are dealt by hash into slices of bounde
 exchange:
 
 1. Each slice sends the 40-bit fingerprints of its triggers to their buckets; a bucket answers each slice with two bits for
-   each trigger: whether several documents have it, and whether it is hot (more than ``HOT_SLICES`` slices have it).
+   each trigger: whether several documents have it, and whether it is hot (it has more than ``HOT_PHRASES`` phrases).
 2. A slice keeps a dictionary of its distinct phrases with shared triggers and the least document of each (later copies are
    settled there) and sends it, packed, to the buckets. Phrases of hot triggers are first split into their strings, which
    go to buckets by their own content, so that no trigger fills a bucket.
@@ -42,8 +42,8 @@ from . import common
 
 #: Bytes of a string that counts as repeated; bytes of a trigger gram; bytes parsed at once; text bytes of a slice, and those a bucket stands for.
 LENGTH, GRAM, PIECE, SLICE_BYTES, BUCKET_BYTES = 50, 12, 1 << 20, 6 << 20, 9 << 20
-#: A trigger of more slices than this is hot: its strings are dealt one by one.
-HOT_SLICES = 128
+#: A trigger of more phrases than this (about 10 MB) is hot: its strings are dealt one by one.
+HOT_PHRASES = 100_000
 #: Phrase bytes whose suffixes are sorted at once in a bucket (whole triggers).
 SORTED_BYTES = 3 << 20
 _VALUE = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -193,7 +193,7 @@ class Slice:
 
 
 def fingerprints(sliced: DataFrame, names: Names, buckets: int) -> DataFrame:
-    """(bucket, slice, prints, several): each slice's distinct trigger fingerprints of a bucket, ascending, and a bit for each if several of its documents have it."""
+    """(bucket, slice, prints, several, phrases): each slice's distinct trigger fingerprints of a bucket, ascending, a bit for each if several of its documents have it, and its phrases (65,535 at most)."""
 
     def run(table: pa.Table) -> pa.Table:
         common.begin("suffix_dedup")
@@ -207,13 +207,16 @@ def fingerprints(sliced: DataFrame, names: Names, buckets: int) -> DataFrame:
         five = mark.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         prints = [five[a:b].tobytes() for a, b in zip(at, to, strict=True)]
         bits = [np.packbits(low[a:b] < high[a:b]).tobytes() for a, b in zip(at, to, strict=True)]
-        return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "slice": pa.array([here.name] * len(at), pa.int64()), "prints": pa.array(prints, pa.binary()), "several": pa.array(bits, pa.binary())})
+        times = np.minimum(np.bincount(place, minlength=len(mark)), 65_535).astype("<u2")
+        pack = zstandard.ZstdCompressor(level=1)  # nearly all are one
+        counts = [pack.compress(times[a:b].tobytes()) for a, b in zip(at, to, strict=True)]
+        return pa.table({"bucket": pa.array(bucket[at], pa.int64()), "slice": pa.array([here.name] * len(at), pa.int64()), "prints": pa.array(prints, pa.binary()), "several": pa.array(bits, pa.binary()), "phrases": pa.array(counts, pa.binary())})
 
-    return sliced.groupBy(names.slice).applyInArrow(run, "bucket bigint, slice bigint, prints binary, several binary")
+    return sliced.groupBy(names.slice).applyInArrow(run, "bucket bigint, slice bigint, prints binary, several binary, phrases binary")
 
 
-def answers(marks: DataFrame, hot_slices: int) -> DataFrame:
-    """(slice, bucket, shared, hot): bits for each fingerprint that a slice has sent, whether several documents have it, and more than ``hot_slices`` slices."""
+def answers(marks: DataFrame, hot_phrases: int) -> DataFrame:
+    """(slice, bucket, shared, hot): bits for each fingerprint that a slice has sent, whether several documents have it, and whether it has more than ``hot_phrases`` phrases."""
 
     def run(table: pa.Table) -> pa.Table:
         common.begin("suffix_dedup")
@@ -224,10 +227,17 @@ def answers(marks: DataFrame, hot_slices: int) -> DataFrame:
             eight[:, :5] = five
             values.append(eight.view("<u8").ravel())
             flags.append(np.unpackbits(np.frombuffer(several, np.uint8), count=len(five)).astype(bool))
+        times = np.concatenate([np.frombuffer(zstandard.decompress(p), "<u2") for p in table.column("phrases").to_pylist()])
         every = np.concatenate(values)
+        many = np.flatnonzero(times > 1)
+        often, own = np.unique(every[many], return_inverse=True)  # all else has a phrase a slice
+        extra = np.bincount(own, times[many] - 1.0, len(often))
         every.sort()
         twice = every[1:][every[1:] == every[:-1]]
-        often = np.unique(every[hot_slices:][every[hot_slices:] == every[:-hot_slices]])  # as many more lie before it
+        total = extra + np.searchsorted(every, often, side="right") - np.searchsorted(every, often)
+        often = often[total > hot_phrases]
+        if len(values) > hot_phrases:
+            often = np.union1d(often, every[hot_phrases:][every[hot_phrases:] == every[:-hot_phrases]])
         del every
         twice = np.unique(np.concatenate([twice, *(v[f] for v, f in zip(values, flags, strict=True))]))
 
@@ -436,7 +446,7 @@ def apply(docs: DataFrame, function: Callable[[pa.Table, list[bytes | None], lis
     names = Names(docs.columns)
     where = F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)).alias(names.slice)
     sliced = docs.select("*", where, F.xxhash64("text").alias(names.tag))
-    segments = settle(phrases(sliced, names, answers(fingerprints(sliced, names, buckets), HOT_SLICES), buckets))
+    segments = settle(phrases(sliced, names, answers(fingerprints(sliced, names, buckets), HOT_PHRASES), buckets))
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         common.begin("suffix_dedup")

@@ -369,7 +369,7 @@ def test_long_runs_of_a_short_period(spark, tmp_path):
 
 @pytest.mark.parametrize("hot", [1, 2])
 def test_strings_of_hot_triggers_are_dealt_one_by_one(spark, tmp_path, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT_SLICES", hot)
+    monkeypatch.setattr(suffix_dedup, "HOT_PHRASES", hot)
     rnd = random.Random(9)
     say = lambda n: "".join(rnd.choice("abcdefgh ü") for _ in range(n))
     passages = [say(n) for n in (49, 50, 51, 90, 400)]
