@@ -27,8 +27,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from . import common
 from .components import components
@@ -227,16 +228,25 @@ def _prefixes(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -
     return docs.select("text").mapInArrow(run, "key bigint, set_id bigint, n bigint")
 
 
-def _shared(rows: DataFrame, by: str) -> DataFrame:
-    """Rows of keys under which ``by`` has two values or more: an aggregate that combines before its shuffle, and a join that deals frequent keys out.
+def _often() -> Column:
+    """Whether a key is that of a frequent shingle: only these, at most ``FREQUENT``, can have many rows."""
+    return F.col("key").bitwiseAND(F.lit(int(_HOT >> np.uint64(1)))) != 0
+
+
+def _dealt(rows: DataFrame, ends: DataFrame, how: str) -> DataFrame:
+    """``rows`` (key, set_id, ...) joined to ``ends`` (key, ...), where the rows of a frequent key meet it in ``SIDES`` places."""
+    sides = ends.withColumn("_side", F.explode(F.when(_often(), F.sequence(F.lit(0), F.lit(SIDES - 1))).otherwise(F.array(F.lit(0)))))
+    own = F.when(_often(), F.pmod(F.xxhash64("set_id"), F.lit(SIDES))).otherwise(0).cast("int")
+    return rows.withColumn("_side", own).join(sides, ["key", "_side"], how).drop("_side")
+
 
-    Only keys of frequent shingles, at most ``FREQUENT``, can have many rows; each of those meets its rows in ``SIDES`` places.
-    """
-    often = F.col("key").bitwiseAND(F.lit(int(_HOT >> np.uint64(1)))) != 0
-    ends = rows.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high")).filter("low < high")
-    ends = ends.select("key", F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SIDES - 1))).otherwise(F.array(F.lit(0)))).alias("side"))
-    dealt = rows.withColumn("side", F.when(often, F.pmod(F.xxhash64("set_id"), F.lit(SIDES))).otherwise(0).cast("int"))
-    return dealt.join(ends, ["key", "side"], "left_semi").select(rows.columns)
+def _shared(rows: DataFrame, by: str) -> DataFrame:
+    """Rows (of a written table) of keys under which ``by`` has two values or more: a window for rare keys; for frequent ones an aggregate that combines before its shuffle, and a join in many places."""
+    over = W.partitionBy("key")
+    rare = rows.filter(~_often()).withColumn("_low", F.min(by).over(over)).withColumn("_high", F.max(by).over(over)).filter("_low < _high").select(rows.columns)
+    often = rows.filter(_often())
+    ends = often.groupBy("key").agg(F.min(by).alias("low"), F.max(by).alias("high")).filter("low < high").select("key")
+    return rare.unionByName(_dealt(often, ends, "left_semi").select(rows.columns))
 
 
 def _partnered(keys: DataFrame, percent: int) -> DataFrame:
@@ -267,18 +277,18 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     # frequent shingles first here: near copies of a common text share those, while their rare ones are their edits
     turned = F.col("key").bitwiseXOR(F.lit(int(_HOT >> np.uint64(1))))
     firsts = F.transform(F.slice(F.sort_array(F.collect_list(turned)), 1, GROUPS), lambda k: k.bitwiseXOR(F.lit(int(_HOT >> np.uint64(1)))))
-    first = shared.groupBy("set_id").agg(firsts.alias("firsts"), F.max("n").alias("n"))
+    first = tables.write(shared.groupBy("set_id").agg(firsts.alias("firsts"), F.max("n").alias("n")), "firsts")
+    # 1. a few groups for each set; groups of many shingles are salted into parts
+    narrow = first.select("set_id", "n", F.explode("firsts").alias("key"))
+    size = narrow.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter("members > 1").select("key", F.ceil(F.col("total") / PART_SHINGLES).cast("int").alias("salts"))
+    part = F.pmod(F.xxhash64("set_id", "key"), F.col("salts")).cast("int").alias("part")
+    places = _dealt(narrow, size, "inner").groupBy("set_id").agg(F.collect_list(F.struct("key", part)).alias("places"))
     sets = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "tag")).alias("one")).select("set_id", "one.doc_id", "one.tag")
-    wanted = first.join(sets, "set_id")
+    wanted = first.join(places, "set_id", "left").join(sets, "set_id")
     tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
     # rows that are repeated as a whole give equal rows; nothing below counts them
-    texts = tables.write(tagged.join(wanted, ["doc_id", "tag"]).select("set_id", "firsts", "n", "text"), "texts")
-
-    # 1. a few groups for each set
-    grouped = texts.withColumn("key", F.explode("firsts"))
-    size = grouped.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("total")).filter("members > 1").select("key", F.ceil(F.col("total") / PART_SHINGLES).cast("int").alias("salts"))
-    part = F.pmod(F.xxhash64("set_id", "key"), F.col("salts")).cast("int").alias("part")
-    dealt = grouped.join(size, "key").select("key", part, "set_id", "n", "text")
+    texts = tables.write(tagged.join(wanted, ["doc_id", "tag"]).select("set_id", "places", "n", "text"), "texts")
+    dealt = texts.select("set_id", "n", "text", F.explode("places").alias("p")).select("p.key", "p.part", "set_id", "n", "text")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("jaccard")
@@ -299,10 +309,8 @@ def row_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     placed = shared.join(local, "set_id", "left").withColumn("local", F.coalesce("local", "set_id"))
     open_keys = tables.write(_shared(placed, "local"), "open")
     # where a set has been: its parts, as many as it has groups
-    met = texts.select("set_id", F.explode("firsts").alias("key")).join(size, "key").select("set_id", F.xxhash64("key", part).alias("met"))
-    met = met.groupBy("set_id").agg(F.collect_set("met").alias("met"))
-    been = texts.select("set_id").distinct().join(met, "set_id", "left").withColumn("met", F.coalesce("met", F.array().cast("array<bigint>")))
-    been = been.select("set_id", F.concat("met", F.array_repeat(F.lit(0).cast("bigint"), GROUPS - F.size("met"))).alias("been"))
+    spots = F.coalesce(F.transform("places", lambda p: F.xxhash64(p["key"], p["part"])), F.array().cast("array<bigint>"))
+    been = texts.select("set_id", spots.alias("met")).dropDuplicates(["set_id"]).select("set_id", F.concat("met", F.array_repeat(F.lit(0).cast("bigint"), GROUPS - F.size("met"))).alias("been"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.begin("jaccard")
