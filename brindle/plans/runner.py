@@ -15,6 +15,7 @@ class Stage:
     name: str
     needs: list[str]
     run: Callable[[SparkSession, dict[str, DataFrame]], DataFrame]
+    check: Callable[[dict[str, DataFrame]], None] | None = None
 
 
 @dataclass
@@ -34,11 +35,16 @@ class Pipeline:
             known.add(s.name)
         return [s.name for s in chosen]
 
-    def execute(self, spark: SparkSession, out: str, only: list[str] | None = None) -> dict[str, DataFrame]:
-        """Run the stages; results are Parquet under ``out`` and tables by the stage's name."""
+    def execute(self, spark: SparkSession, out: str, only: list[str] | None = None, dry_run: bool = False) -> dict[str, DataFrame]:
+        """Run the stages; results are Parquet under ``out`` and tables by the stage's name. Inputs are checked just before their stage; a dry run only plans."""
         names = self.plan(only)
-        for s in self.stages:
+        for s in self.stages if not dry_run else []:
             if s.name in names:
+                for needed in s.needs:
+                    if not self.tables[needed].limit(1).count():
+                        raise ValueError(f"{s.name}: table {needed!r} is empty")
+                if s.check:
+                    s.check(self.tables)
                 s.run(spark, self.tables).write.mode("overwrite").parquet(f"{out}/{s.name}")
                 self.tables[s.name] = spark.read.parquet(f"{out}/{s.name}")
         return self.tables

@@ -63,7 +63,7 @@ def test_raw_events_and_truthiness(spark, tmp_path):
     flat = flatten(raw)
     r = flat.first()
     assert (r["repo_key"], r["actor_login"], r["pull_number"], r["pull_merged"], r["title_chars"], r["author_association"]) == ("github:a/b", "me", 7, True, 1, "OWNER")
-    assert tuple(totals(raw, flat).first()) == (3, 1, 1)
+    assert tuple(totals(raw, flat, failed=2).first()) == (3, 1, 1, 2)
     assert flatten(raw, spark.createDataFrame([("github:c/d",)], "repo_key string")).count() == 0
 
 
