@@ -84,12 +84,16 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     reaches it as its colour, and what reaches the colour's root backwards inside the colour is that root's component.
     """
     left = materialize(edges.filter("src <> dst").distinct(), "scc")
+    n = left.count()
     done = None
     while True:
-        while True:  # trim
-            n = left.count()
+        while n:  # trim
+            before = left
             left = materialize(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "scc")
-            if left.count() == n:
+            rest = left.count()
+            forget(before)
+            same, n = rest == n, rest
+            if same:
                 break
         if n == 0:
             break
@@ -112,6 +116,7 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         done = reach if done is None else materialize(done.union(reach), "scc")
         ids = reach.select("id")
         left = materialize(left.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"), "scc")
+        n = left.count()
     if done is None:
         return nodes.select("id", F.col("id").alias("component"))
     least = done.groupBy("c").agg(F.min("id").alias("component"))
