@@ -39,12 +39,12 @@ def explode_packages(spark, sf):
 
 
 def deprecation_filter(spark, sf):
-    return t.read(spark, sf, "documents").filter(F.rlike("text", F.lit(PATTERNS))).groupBy("lang").agg(F.count("*").alias("n"))
+    return t.read(spark, sf, "documents").filter(F.rlike("text", F.lit(c.sql_words(PATTERNS)))).groupBy("lang").agg(F.count("*").alias("n"))
 
 
 def deprecation_snippet(spark, sf):
     docs = t.read(spark, sf, "documents")
-    return docs.select("doc_id", c.snippet(F.col("text"), r"(?i)\bof the\b", 1).alias("snippet")).filter("snippet IS NOT NULL").select("doc_id", F.length("snippet").alias("n"), F.md5("snippet").alias("digest"))
+    return docs.select("doc_id", c.snippet(F.col("text"), c.sql_words(r"(?i)\bof the\b"), 1).alias("snippet")).filter("snippet IS NOT NULL").select("doc_id", F.length("snippet").alias("n"), F.md5("snippet").alias("digest"))
 
 
 #: A sentence for each pattern of deprecation, and some that match none.

@@ -2,12 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import ranks, stats
-from brindle.functions.columns import normalize_repo, parsed_answer, severity
+from brindle.functions.columns import normalize_repo, parsed_answer, severity, sql_words
 from brindle.operators import graph, model, ranking, timeseries, vectors
 from brindle.plans import stages, text_queries
 from brindle.plans.runner import Pipeline, Stage
@@ -241,3 +242,16 @@ def test_snippets_of_documents_in_any_language(spark, tmp_path):
     rows = [(1, "Out of the box.", "en"), (2, "Au nom of the loi.", "fr"), (3, "End OF THE line", None), (4, "nothing", "en"), (5, None, "fr")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["doc_id"] for r in text_queries.deprecation_snippet(spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+def test_word_ends_beside_other_letters_as_in_sql(spark, tmp_path):
+    texts = ["haus und dieöte", "für und dießen", "öund die", "und dies", "xund die", "Und Die", "_of the", "a of the9", "éof theé", "OF THE", "of thé", "", None]
+    rows = [(i, s, f"l{i}") for i, s in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("deprecation_filter", "deprecation_snippet"):
+        got = sorted(map(tuple, text_queries.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert got == sorted(duck.sql(text_queries.ORACLE[name]).fetchall())
+        assert len(got) == {"deprecation_filter": 6, "deprecation_snippet": 2}[name]
+    assert sql_words(r"\bof the\b|x\b") == r"(?<!\w)of the(?!\w)|x(?:(?=\w)(?<!\w)|(?!\w)(?<=\w))"
