@@ -13,6 +13,7 @@ repeated rows are predicted each. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -77,27 +78,34 @@ def has_letter(text: bytes | None) -> bool:
 
 
 class Svm:
-    """A linear SVM (hinge loss, L2) by averaged subgradient descent; y is -1 or 1, both classes weigh the same."""
+    """A linear SVM (hinge loss, L2) by averaged subgradient descent on the ``rows`` of x (all, if None); y of these is -1 or 1, both classes weigh the same.
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, passes: int = PASSES, penalty: float = 1e-4, seed: int = 11):
+    x is never copied as a whole; half-precision vectors are widened a few at a time.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, passes: int = PASSES, penalty: float = 1e-4, seed: int = 11, rows: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
+        rows = np.arange(len(x)) if rows is None else rows
         weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9))
         w, b, mean, mean_b, t = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1]), 0.0, 0
         for _ in range(passes):
-            order = rng.permutation(len(x))
-            for part in np.array_split(order, max(1, len(x) // 32)):
+            order = rng.permutation(len(rows))
+            for part in np.array_split(order, max(1, len(rows) // 32)):
                 t += 1
                 rate = 1 / (penalty * (t + 1 / penalty / 8))
-                wrong = part[y[part] * (x[part] @ w + b) < 1]
+                some = x[rows[part]].astype(np.float32, copy=False)
+                off = y[part] * (some @ w + b) < 1
+                wrong = part[off]
                 w *= 1 - rate * penalty
                 if len(wrong):
                     push = weight[wrong] * y[wrong]
-                    w += rate / len(part) * (push @ x[wrong])
+                    w += rate / len(part) * (push @ some[off])
                     b += rate / len(part) * push.sum()
                 mean += (w - mean) * 2 / (t + 1)
                 mean_b += (b - mean_b) * 2 / (t + 1)
         self.w, self.b = mean, float(mean_b)
-        self.scale = 1.0 / max(float(np.median(np.abs(x @ mean.astype(np.float32) + mean_b))), 1e-6)
+        margins = [x[rows[a : a + 64]].astype(np.float32, copy=False) @ mean.astype(np.float32) + mean_b for a in range(0, len(rows), 64)]
+        self.scale = 1.0 / max(float(np.median(np.abs(np.concatenate(margins)))), 1e-6)
 
 
 class Model:
@@ -115,9 +123,9 @@ class Model:
         for f in self.families:
             self.pairs[f] = []
             for a, b in combinations([c for c in self.languages if self.family[c] == f], 2):
-                rows = (lang == a) | (lang == b)
+                rows = np.flatnonzero((lang == a) | (lang == b))
                 self.pairs[f].append((len(machines), a, b))
-                machines.append(Svm(x[rows], np.where(lang[rows] == a, 1.0, -1.0)))
+                machines.append(Svm(x, np.where(lang[rows] == a, 1.0, -1.0), rows=rows))
         self.w = np.column_stack([m.w for m in machines]).astype(np.float32) if machines else np.zeros((BUCKETS, 0), np.float32)
         self.b = np.array([m.b for m in machines])
         self.scale = np.array([m.scale for m in machines])
@@ -149,7 +157,10 @@ class Model:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, list[str]] | None = None) -> Model | None:
-    """Train on about ``per_language`` rows (doc_id, text, lang) of each language, chosen by hash of doc_id."""
+    """Train on about ``per_language`` rows (doc_id, text, lang) of each language, chosen by hash of doc_id.
+
+    Vectors come to the driver deflated (most of a vector is 0 or one of a few values) and lie there once, in half precision.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
@@ -167,14 +178,19 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, families: dict[str, l
             for a in range(0, len(keep), 64):
                 some = keep[a : a + 64]
                 made = vectors([texts[i] for i in some]).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), part.column("lang").take(pa.array(some)), pa.array([v.tobytes() for v in made], pa.binary())], ["doc_id", "lang", "vector"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(some)), part.column("lang").take(pa.array(some)), pa.array([zlib.compress(v, 1) for v in made], pa.binary())], ["doc_id", "lang", "vector"])
 
     sample = rows.filter(place < limit).select("doc_id", "text", "lang").mapInArrow(run, "doc_id bigint, lang string, vector binary").toArrow()
     if not sample.num_rows:
         return None
     sample = sample.take(pc.sort_indices(sample, [("doc_id", "ascending"), ("lang", "ascending"), ("vector", "ascending")]))
-    x = np.frombuffer(b"".join(sample.column("vector").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
-    return Model(x, np.array(sample.column("lang").to_pylist()), families)
+    x = np.empty((sample.num_rows, BUCKETS), np.float16)
+    for row, packed in zip(x, sample.column("vector"), strict=True):
+        row[:] = np.frombuffer(zlib.decompress(packed.as_buffer()), np.float16)
+    model = Model(x, np.array(sample.column("lang").to_pylist()), families)
+    del x, row, sample, packed
+    common.finish()
+    return model
 
 
 def predict(model: Model | None, texts: list[bytes | None]) -> tuple[list[str], np.ndarray]:

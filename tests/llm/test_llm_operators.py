@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -169,6 +170,24 @@ def test_language_held_out_accuracy(spark, odd_docs, no_docs):
 # 4
 
 
+def test_language_training_holds_its_sample_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text RLIKE '[a-z]'")
+    tracemalloc.start()
+    model = language.fit(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) > 1
+    assert peak < 2 * docs.count() * language.BUCKETS * 2  # bytes of the vectors in half precision
+
+
+def test_machines_are_the_same_in_half_precision():
+    rng = np.random.default_rng(1)
+    x = rng.random((150, language.BUCKETS)).astype(np.float16)
+    lang = np.array(["en", "de", "fr"])[np.arange(150) % 3]
+    half, single = language.Model(x, lang), language.Model(x.astype(np.float32), lang)
+    assert (half.w == single.w).all() and (half.b == single.b).all() and (half.scale == single.scale).all()
+
+
 def test_quality_counts_and_verdict(spark, odd_docs, no_docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {(r["doc_id"]): r for r in quality.query(spark, SF).collect()}
